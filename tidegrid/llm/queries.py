@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, piece_codec, simhash
 from .common import documents
 
 
@@ -57,8 +57,18 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, their number, and whether they decode to the text."""
+    out = piece_codec.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_sha256", "round_trip")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op6_exact_dedup": op6_exact_dedup}
+    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op6_exact_dedup": op6_exact_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
