@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, piece_codec, quality, simhash
+from . import exact_dedup, mixing, piece_codec, quality, secret_scan, simhash
 from .common import documents
 
 
@@ -63,6 +63,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_sha256", "round_trip")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -75,7 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op6_exact_dedup": op6_exact_dedup, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op6_exact_dedup": op6_exact_dedup, "op7_secrets": op7_secrets, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
