@@ -18,7 +18,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     tables in the shared folder. Self loops and repeated edges are fine; null
     ends are dropped; an empty edge table gives an empty result.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    both = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long"), F.col("b").cast("long")), "links")
     live = materialize(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = materialize(both.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     for r in range(rounds):

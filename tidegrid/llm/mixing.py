@@ -73,29 +73,16 @@ def _thresholds(rows: DataFrame, parts: DataFrame, small) -> DataFrame:
     return edge.select("_k", "_b", F.col("_prefix").alias("_until"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, budgets: tuple[float, ...] = (1.0,), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Copies that each document has in a mix of its sources.
+def _key(source_col: str) -> Column:
+    return F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
 
-    Sources, in code point order with null last, have the ``weights`` by turns
-    and share ``budgets`` times all words; a target never exceeds ``cap`` times
-    its source's size, the excess is shared again. A source gives whole epochs
-    and then the documents whose hash is below its threshold, which keeps its
-    words at or below the target by less than the next document's size.
 
-    Returns ``id_col, size, source_size, target, taken, copies`` with the last
-    three for the first budget, then ``taken_2, ...`` for further ones, and the
-    columns in ``keep``. Sizes count ASCII-blank-parted words; a null or empty
-    text has none and takes none. Rows with equal ids (null ids too) are taken
-    or left together; if the hash at which words run out is shared, that hash
-    is left out. An empty table gives an empty result.
-    """
-    key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    extra = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    rows = materialize(docs.select(F.col(id_col).alias("_id"), key.alias("_k"), word_count(F.col(text_col)).alias("_n"), place(F.col(id_col)).alias("_h"), *extra), "mix")
+def _plan(docs: DataFrame, weights: tuple[float, ...], cap: float, budgets: tuple[float, ...], id_col: str, text_col: str, source_col: str):
+    """Sizes and places of all rows; for each source its size and, by budget, target, epochs and threshold; how to join the two."""
+    rows = materialize(docs.select(F.col(id_col).alias("_id"), _key(source_col).alias("_k"), word_count(F.col(text_col)).alias("_n"), place(F.col(id_col)).alias("_h")), "mix")
     sizes = rows.groupBy("_k").agg(F.sum("_n").alias("_size")).withColumn("_s", F.when(F.col("_k") != "n", F.col("_k")))
     sizes = materialize(sizes, "mix-sources")
-    few = sizes.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda x: x)
+    small = F.broadcast if sizes.count() <= BROADCAST_SOURCES else (lambda x: x)
     parts = []
     for b, budget in enumerate(budgets):
         t = source_targets(sizes, weights, cap, budget).withColumn("_k", F.coalesce("_s", F.lit("n")))
@@ -103,10 +90,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
         t = t.withColumn("_epochs", epochs).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("_size"))
         parts.append(t.select("_k", F.lit(b).alias("_b"), "_size", "target", "_epochs", "_rest"))
     parts = materialize(reduce(DataFrame.unionAll, parts), "mix-targets")
-    until = _thresholds(rows.select("_k", "_n", "_h"), parts, small)
-    plan = parts.join(until, ["_k", "_b"], "left")
-    by_source = plan.groupBy("_k").agg(F.max("_size").alias("source_size"), *[F.max(F.when(F.col("_b") == b, F.struct("target", "_epochs", F.coalesce("_until", F.lit(0).cast("long")).alias("_until")))).alias(f"_p{b}") for b in range(len(budgets))])
+    plan = parts.join(_thresholds(rows.select("_k", "_n", "_h"), parts, small), ["_k", "_b"], "left")
+    one = F.struct("target", "_epochs", F.coalesce("_until", F.lit(0).cast("long")).alias("_until"))
+    by_source = plan.groupBy("_k").agg(F.max("_size").alias("source_size"), *[F.max(F.when(F.col("_b") == b, one)).alias(f"_p{b}") for b in range(len(budgets))])
+    return rows, materialize(by_source, "mix-plan"), small
+
+
+def _copies(budget: int) -> Column:
+    return F.col(f"_p{budget}._epochs") + F.when(F.col("_h") < F.col(f"_p{budget}._until"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, budgets: tuple[float, ...] = (1.0,), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Words that a mix of the sources takes of each document.
+
+    Sources, in code point order with null last, have the ``weights`` by turns
+    and share ``budgets`` times all words; a target never exceeds ``cap`` times
+    its source's size, the excess is shared again. A source gives whole epochs
+    and then the documents whose hash is below its threshold, which keeps its
+    words at or below the target by less than the next document's size.
+
+    Returns ``id_col, size, source_size, target, taken, copies`` with the last
+    three for the first budget, then ``taken_2, ...`` for further ones. Sizes
+    count ASCII-blank-parted words; a null or empty text has none and takes
+    none. Rows with equal ids (null ids too) are taken or left together; if the
+    hash at which words run out is shared, that hash is left out. Other columns
+    are ignored. An empty table gives an empty result.
+    """
+    rows, by_source, small = _plan(docs, weights, cap, budgets, id_col, text_col, source_col)
     out = rows.join(small(by_source), "_k")
-    copies = [F.col(f"_p{b}._epochs") + F.when(F.col("_h") < F.col(f"_p{b}._until"), 1).otherwise(0) for b in range(len(budgets))]
-    more = [(F.col("_n") * c).alias(f"taken_{b + 1}") for b, c in enumerate(copies) if b]
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("size"), "source_size", F.col("_p0.target").alias("target"), (F.col("_n") * copies[0]).alias("taken"), copies[0].alias("copies"), *more, *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
+    more = [(F.col("_n") * _copies(b)).alias(f"taken_{b + 1}") for b in range(1, len(budgets))]
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("size"), "source_size", F.col("_p0.target").alias("target"), (F.col("_n") * _copies(0)).alias("taken"), _copies(0).alias("copies"), *more)
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row as often as ``mix`` takes it, with the columns of ``docs``.
+
+    Texts are not shuffled: the small plan is broadcast to them if the sources
+    are few. Rows without words are taken as often as their source's hash rule
+    says, like any other.
+    """
+    _, by_source, small = _plan(docs, weights, cap, (budget,), id_col, text_col, source_col)
+    fields = [f"`{c}`" for c in docs.columns]
+    rows = docs.select(F.struct(*fields).alias("_row"), _key(source_col).alias("_k"), place(F.col(id_col)).alias("_h"))
+    out = rows.join(small(by_source.select("_k", "_p0")), "_k").withColumn("_c", _copies(0).cast("int")).where("_c > 0")
+    return out.select(F.explode(F.array_repeat("_row", F.col("_c"))).alias("_row")).select("_row.*")
