@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, media, mixing, piece_codec, quality, secret_scan, simhash
+from . import exact_dedup, license_scan, lm_score, media, mixing, piece_codec, quality, secret_scan, simhash
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
@@ -87,7 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op3_licenses": op3_licenses, "op5_media": op5_media, "op6_exact_dedup": op6_exact_dedup, "op7_secrets": op7_secrets, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op3_licenses": op3_licenses, "op4_lm_score": op4_lm_score, "op5_media": op5_media, "op6_exact_dedup": op6_exact_dedup, "op7_secrets": op7_secrets, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
