@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, lm_score, media, mixing, piece_codec, quality, secret_scan, simhash
+from . import exact_dedup, license_scan, lm_score, media, mixing, piece_codec, quality, secret_scan, simhash, suffix_dedup
 from .common import documents
 
 
@@ -79,6 +79,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -91,7 +95,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op3_licenses": op3_licenses, "op4_lm_score": op4_lm_score, "op5_media": op5_media, "op6_exact_dedup": op6_exact_dedup, "op7_secrets": op7_secrets, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
+    return {"op1_mix": op1_mix, "op2_piece_codec": op2_piece_codec, "op3_licenses": op3_licenses, "op4_lm_score": op4_lm_score, "op5_media": op5_media, "op6_exact_dedup": op6_exact_dedup, "op7_secrets": op7_secrets, "op8_suffix_dedup": op8_suffix_dedup, "op9_quality": op9_quality, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
