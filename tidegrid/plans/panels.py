@@ -101,5 +101,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def rounding(sql: str, doubles: str, others: str, digits: int = 6) -> str:
     """The same over the last CTE ``z``."""
-    parts = [c.strip() for c in others.split(",") if c.strip()] + [f"round({c.strip()}, {digits}) AS {c.strip()}" for c in doubles.split(",") if c.strip()]
+    parts = [c.strip() for c in others.split(",") if c.strip()] + [f"round({c.strip()}, {digits}) + 0.0::DOUBLE AS {c.strip()}" for c in doubles.split(",") if c.strip()]
     return f"WITH {sql.strip()} SELECT {', '.join(parts)} FROM z"
