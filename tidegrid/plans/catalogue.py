@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, inference_queries, portfolio_queries
+from . import audit_queries, feature_queries, inference_queries, portfolio_queries
 
-_PARTS = (feature_queries, portfolio_queries, inference_queries)
+_PARTS = (feature_queries, portfolio_queries, inference_queries, audit_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
