@@ -96,12 +96,13 @@ def apply(df: DataFrame, name: str, args: list, made: str) -> DataFrame:
     """One expression-language operator; series arguments are columns, the rest numbers."""
     series = {f"_arg{i}": a for i, a in enumerate(args) if isinstance(a, Column)}
     kernel = KERNELS[name]
+    plain = [None if isinstance(a, Column) else a for a in args]
+    named = list(series)  # the worker gets names, not columns
 
     def work(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        return {made: kernel(*[pdf[f"_arg{i}"].to_numpy(dtype=float) if f"_arg{i}" in series else a for i, a in enumerate(args)])}
+        return {made: kernel(*[pdf[f"_arg{i}"].to_numpy(dtype=float) if f"_arg{i}" in named else a for i, a in enumerate(plain)])}
 
-    args = [None if isinstance(a, Column) else a for a in args]
-    return by_asset(df.withColumns(series), [made], work).drop(*series)
+    return by_asset(df.withColumns(series), [made], work).drop(*named)
 
 
 def hysteresis(df: DataFrame, rank: str, enter: int, hold: int) -> DataFrame:
