@@ -32,9 +32,11 @@ from .windows import pieces
 
 SPAN = 100
 #: Bytes of text whose pieces a task lists at once.
-UNIT = 24 << 20
+UNIT = 8 << 20
+#: Bytes of text that are cut into pieces at once; each takes about 60 bytes of memory.
+BLOCK = 1 << 19
 #: Text bytes of a shard in the final sort; a k-gram's contenders stay together.
-SHARD = 24 << 20
+SHARD = 2 << 20
 #: The id that stands for null: below all others.
 NULL_ID = -(1 << 63)
 
@@ -140,7 +142,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, span: int, buckets:
                 rows.append(_rows(0, int(bucket[s]), doc[p], key[p], first[p], last[p], gram[p], content[p]))
             return _batch(rows)
 
-        for part, texts in text_blocks(batches, "_t"):
+        for part, texts in text_blocks(batches, "_t", BLOCK):
             ids = part.column(0).to_numpy()
             text, first, last, gram, content, _, _ = pieces(texts, span)
             keys = np.array([_text_key(t) for t in texts], dtype=np.int64)

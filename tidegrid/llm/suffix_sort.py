@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that the queues of a shard keep in memory.
-MEMORY = 96 << 20
+MEMORY = 48 << 20
 #: Entries of one batch.
 BATCH = 1 << 20
 
