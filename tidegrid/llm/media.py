@@ -148,7 +148,9 @@ class ArchiveReader(DataSourceReader):
                     raise
         raise AssertionError
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archives at all
+            return
         fs, path = _open(partition.uri)
         with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
             members = [(i.filename, i.header_offset, i.file_size) for i in z.infolist() if partition.start <= i.header_offset < partition.stop]
