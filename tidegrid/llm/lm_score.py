@@ -31,8 +31,9 @@ HASH_BITS = 48
 PROBES = 3
 #: Least count that the filter holds, at every size of corpus.
 LEAST = 2
-#: Bits of the filter: one a training token, rounded up to a power of two, within these bounds (128 KB to 256 MB).
-MIN_BITS, MAX_BITS = 20, 31
+#: Bits of the filter: four a training token, rounded up to a power of two, within these bounds (128 KB to 256 MB).
+#: About a fifth of the bits are set then, and one probe in a hundred errs; beyond 500 million tokens errors grow slowly.
+TOKEN_BITS, MIN_BITS, MAX_BITS = 4, 20, 31
 #: Tokens that a counting task gathers before it passes their counts on.
 FLUSH = 2_000_000
 #: Most frequent words whose exact counts are broadcast (16 MB); rarer words are joined.
@@ -165,7 +166,7 @@ class Filter:
 def build_filter(train: DataFrame, total: int) -> Filter:
     """Counts all n-grams of the training rows and fills the filter, segment by segment."""
     spark = train.sparkSession
-    bits = min(max(int(max(total, 1) - 1).bit_length(), MIN_BITS), MAX_BITS)
+    bits = min(max((TOKEN_BITS * max(int(total), 1) - 1).bit_length(), MIN_BITS), MAX_BITS)
     segment_bits = 1 << (bits - SEGMENT_BITS)
     # Finer buckets for larger corpora: about 2^20 tokens a bucket, so a bucket fits in a worker.
     bucket_bits = max(SEGMENT_BITS, int(max(total, 1)).bit_length() - 20)
