@@ -71,7 +71,7 @@ def zscore_clip(spark: SparkSession, sf: str) -> DataFrame:
     """Long z-scores from running sums, lagged and clipped to five deviations."""
     p = ts.long_moments(nation_day(spark, sf), "close", 120, "m", "s", 40)
     p = p.withColumn("z", clip(div(F.col("close") - F.col("m"), F.when(F.col("s") > 1e-9, F.col("s"))), -5, 5))
-    return rounded(p.select("asset", "ts", "z", lag("z").alias("z_lag"), F.col("m").alias("mean_120")), 4)
+    return rounded(p.select("asset", "ts", "z", lag("z").alias("z_lag")), 4)
 
 
 def carry_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +211,7 @@ QUERIES = {
     "volume_shock": _q(volume_shock, rounding(NATION_DAY + f""", z AS (SELECT asset, ts, ({_roll("sum({})", "volume", 7, 3)}) / ({_roll("avg({})", "volume", 60, 30)}) AS volume_shock FROM p)""", "volume_shock", "asset, ts")),
     "zscore_clip": _q(zscore_clip, rounding(NATION_DAY + f""", a AS (SELECT *, {_roll("avg({})", "close", 120, 40)} AS mean_120, {_roll("stddev_samp({})", "close", 120, 40)} AS s FROM p),
       b AS (SELECT *, greatest(-5, least(5, (close - mean_120) / s)) AS z0 FROM a), c AS (SELECT asset, ts, CASE WHEN close IS NOT NULL AND s IS NOT NULL THEN z0 END AS z, mean_120 FROM b),
-      z AS (SELECT asset, ts, z, lag(z) OVER ({W}) AS z_lag, mean_120 FROM c)""", "z, z_lag, mean_120", "asset, ts", 4)),
+      z AS (SELECT asset, ts, z, lag(z) OVER ({W}) AS z_lag FROM c)""", "z, z_lag", "asset, ts", 4)),
     "carry_features": _q(carry_features, rounding(NATION_DAY + f""", a AS (SELECT *, CASE WHEN volume >= 2 THEN close / 1e6 END AS rate, close / lag(close, 5) OVER ({W}) - 1 AS mom, vol_quote / lag(vol_quote, 5) OVER ({W}) - 1 AS oi0 FROM p),
       b AS (SELECT *, last_value(rate IGNORE NULLS) OVER ({W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS signal, CASE WHEN oi0 IS NOT NULL THEN least(3, greatest(-1, oi0)) END AS oi FROM a),
       c AS (SELECT *, lag(signal) OVER ({W}) AS carry, {_roll("avg({})", "signal", 20, 8)} AS p0 FROM b),
