@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import asset_time, change, clip, col, correlation, div, lag, log, rolling, trailing
+from ..functions.numeric import asset_time, clip, col, correlation, div, lag, log, rolling, trailing
 
 #: Frames from this many rows on use running sums instead of one pass a row.
 LONG = 100
