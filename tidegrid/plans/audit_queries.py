@@ -235,7 +235,7 @@ def lot_rounding(spark: SparkSession, sf: str) -> DataFrame:
 
 def book_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as book levels: odd lines bid, even lines ask above them."""
-    l = table(spark, sf, "lineitem").where("l_orderkey % 10 = 1")  # noqa: E741  the orders that stand for books
+    l = table(spark, sf, "lineitem")  # noqa: E741
     side = F.when(F.col("l_linenumber") % 2 == 1, "bid").otherwise("ask")
     price = F.when(side == "bid", 1000 - F.col("l_linenumber") * 0.4 - F.col("l_discount")).otherwise(1000 + F.col("l_linenumber") * 0.3 + F.col("l_tax"))
     levels = l.select(F.col("l_orderkey"), side.alias("side"), price.alias("price"), (F.col("l_quantity") / 20).alias("size"))
