@@ -31,8 +31,8 @@ SHARED = 5
 DIRECT = 4096
 
 
-def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
-    """SimHash of each text over its word shingles, repeats included; no words: 0."""
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' word shingles, repeats included, and each text's number of them."""
     buf, starts, ends, first = runs(texts, SPACE)
     # Words joined by one space each, so that a shingle is a slice.
     word_len = ends - starts
@@ -48,6 +48,12 @@ def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
     head = np.repeat(first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     last = head + np.minimum(np.repeat(words, count), shingle) - 1
     h = xxh64(joined, at[head], at[last] + word_len[last]) if len(head) else np.zeros(0, np.uint64)
+    return h, count
+
+
+def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
+    """SimHash of each text over its word shingles, repeats included; no words: 0."""
+    h, count = shingle_hashes(texts, shingle)
     out = np.zeros(len(texts), dtype=np.uint64)
     some = np.flatnonzero(count)
     step = 1 << 16
