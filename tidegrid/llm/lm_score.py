@@ -14,7 +14,7 @@ bucket, so a bucket is the unit of work and the largest thing in memory.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,12 @@ HASH_BITS = 48
 PROBES = 3
 #: Least count that the filter holds, at every size of corpus.
 LEAST = 2
-#: Bits of the filter: four a training token, rounded up to a power of two, within these bounds (128 KB to 256 MB).
-#: About a fifth of the bits are set then, and one probe in a hundred errs; beyond 500 million tokens errors grow slowly.
-TOKEN_BITS, MIN_BITS, MAX_BITS = 4, 20, 31
+#: Bits of the filter: eight a member (an n-gram at one level), rounded up to a power of two, 128 KB at least.
+#: A sixth to a third of the bits are set then, at every size of corpus.
+MEMBER_BITS, MIN_BITS = 8, 20
+#: A filter of up to 2^31 bits (256 MB) is broadcast. A larger one stays in the shared folder, and n-grams are sent
+#: to its parts of 2^27 bits (16 MB) each; the counts are the same.
+SENT_BITS, PART_BITS = 31, 27
 #: Tokens that a counting task gathers before it passes their counts on.
 FLUSH = 2_000_000
 #: Most frequent words whose exact counts are broadcast (16 MB); rarer words are joined.
@@ -125,9 +128,10 @@ def word_counts(train: DataFrame) -> DataFrame:
 class Filter:
     """The log-frequency Bloom filter."""
 
-    def __init__(self, data: np.ndarray):
-        self.data = data  # bytes
-        self.segment_bits = len(data) * 8 >> SEGMENT_BITS
+    def __init__(self, data: np.ndarray, segment_bits: int = 0, first: int = 0):
+        self.data = data  # bytes, of the segments from the first on
+        self.segment_bits = segment_bits or len(data) * 8 >> SEGMENT_BITS
+        self.first = first
 
     @staticmethod
     def places(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
@@ -148,7 +152,7 @@ class Filter:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts by repeated probes: 0 if not held, else 1.5 times the power of two reached."""
-        base = (keys >> np.uint64(HASH_BITS - SEGMENT_BITS)) * np.uint64(self.segment_bits)
+        base = ((keys >> np.uint64(HASH_BITS - SEGMENT_BITS)) - np.uint64(self.first)) * np.uint64(self.segment_bits)
         out = np.zeros(len(keys))
         live = np.arange(len(keys))
         for j in range(1, 64):
@@ -163,11 +167,8 @@ class Filter:
         return out
 
 
-def build_filter(train: DataFrame, total: int) -> Filter:
-    """Counts all n-grams of the training rows and fills the filter, segment by segment."""
-    spark = train.sparkSession
-    bits = min(max((TOKEN_BITS * max(int(total), 1) - 1).bit_length(), MIN_BITS), MAX_BITS)
-    segment_bits = 1 << (bits - SEGMENT_BITS)
+def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Counts all n-grams of the training rows and fills the filter: segments ``(s, v)``, to be or-ed, and its bits' log2."""
     # Finer buckets for larger corpora: about 2^20 tokens a bucket, so a bucket fits in a worker.
     bucket_bits = max(SEGMENT_BITS, int(max(total, 1)).bit_length() - 20)
     shift = np.uint64(HASH_BITS - bucket_bits)
@@ -194,14 +195,13 @@ def build_filter(train: DataFrame, total: int) -> Filter:
         if size:
             yield flush()
 
-    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(bucket: int, blobs: list[bytes]):
             parts = [_unpack(x) for x in blobs]
             k, c = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             keep = c >= LEAST
-            full = k[keep] | (np.uint64(bucket) << shift)
-            bytes_ = Filter.segment(full, c[keep], segment_bits).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([bucket >> (bucket_bits - SEGMENT_BITS)]), pa.array([bytes_], pa.binary())], names=["s", "v"])
+            members = int((np.floor(np.log2(c[keep])) + 1).sum())
+            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([members]), pa.array([_pack(k[keep], c[keep])], pa.binary())], names=["b", "m", "v"])
 
         now, blobs = None, []
         for b in batches:
@@ -215,14 +215,123 @@ def build_filter(train: DataFrame, total: int) -> Filter:
             yield close(now, blobs)
 
     packed = train.mapInArrow(count, "b long, v binary").repartition(F.col("b")).sortWithinPartitions("b")
-    built = materialize(packed.mapInArrow(fill, "s long, v binary"), "lm-segments")
+    merged = materialize(packed.mapInArrow(merge, "b long, m long, v binary"), "lm-counts")
+    members = merged.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    bits = max((MEMBER_BITS * max(members, 1) - 1).bit_length(), MIN_BITS)
+    segment_bits = 1 << (bits - SEGMENT_BITS)
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, c = _unpack(blob)
+                bytes_ = Filter.segment(k | (np.uint64(bucket) << shift), c, segment_bits).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket >> (bucket_bits - SEGMENT_BITS)]), pa.array([bytes_], pa.binary())], names=["s", "v"])
+
+    return materialize(merged.select("b", "v").mapInArrow(fill, "s long, v binary"), "lm-segments"), bits
+
+
+def gathered(segments: DataFrame, bits: int) -> Filter:
+    """The whole filter on the driver."""
     data = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    width = segment_bits >> 3
-    for r in built.toLocalIterator():  # 2^bits bits in all for one bucket a segment
+    width = len(data) >> SEGMENT_BITS
+    for r in segments.toLocalIterator():  # 2^bits bits in all for one bucket a segment
         data[r.s * width : (r.s + 1) * width] |= np.frombuffer(r.v, dtype=np.uint8)
     return Filter(data)
 
 
+def probed(asked: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
+    """``(block, part, counts)`` for the keys ``(block, part, keys)``: every key meets the part of the filter that holds its segment."""
+    part_bits = _part_bits(bits)
+    low = SEGMENT_BITS - part_bits
+    width = 1 << (bits - 3 - SEGMENT_BITS)
+    part = F.shiftright("s", low)
+    both = segments.select(part.alias("part"), F.lit(0).alias("kind"), F.col("s").alias("block"), "v").unionByName(asked.select("part", F.lit(1).alias("kind"), "block", F.col("keys").alias("v")))
+    both = both.repartition(1 << part_bits, F.col("part")).sortWithinPartitions("part", "kind")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, data, lm = None, None, None
+        for batch in batches:
+            for p, kind, block, v in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if p != now:
+                    now, data = p, np.zeros(width << low, dtype=np.uint8)
+                    lm = Filter(data, width * 8, p << low)
+                if kind == 0:
+                    at = (block - (p << low)) * width
+                    data[at : at + width] |= np.frombuffer(v, dtype=np.uint8)
+                else:
+                    got = lm.counts(np.frombuffer(v, dtype=np.uint64)).astype(np.float64).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p]), pa.array([got], pa.binary())], names=["block", "part", "counts"])
+
+    return both.mapInArrow(work, "block long, part long, counts binary")
+
+
+def _part_bits(bits: int) -> int:
+    return min(max(bits - PART_BITS, 0), SEGMENT_BITS)
+
+
+#: Key of the end mark.
+END_KEY = grams(np.array([END]), np.array([0, 1]))[0]
+
+
+def _by_parts(rows: DataFrame, segments: DataFrame, bits: int, rated: Callable, result: str) -> DataFrame:
+    """What ``rated`` yields with a filter that no worker holds as a whole.
+
+    Texts are kept in blocks; the distinct keys of a block go to the filter's
+    parts and their counts come back to the block.
+    """
+    part_bits = _part_bits(bits)
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _ in text_blocks(batches, "_t"):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+    def opened(blob: bytes) -> tuple[pa.RecordBatch, list[bytes]]:
+        part = pa.ipc.open_stream(blob).read_next_batch()
+        return part, [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+
+    def keys_of(texts: list[bytes]) -> np.ndarray:
+        return np.unique(np.concatenate([*grams(*tokens(texts)), END_KEY]))
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = keys_of(opened(blob)[1])
+                part = (keys >> np.uint64(HASH_BITS - part_bits)).astype(np.int64)
+                cut = np.flatnonzero(np.diff(part, prepend=-1))
+                found = [k.tobytes() for k in np.split(keys, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(part[cut]), pa.array(found, pa.binary())], names=["block", "part", "keys"])
+
+    def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks():
+            now, blob, got = None, None, []
+
+            def close():
+                part, texts = opened(blob)
+                keys, found = keys_of(texts), np.concatenate(got)  # parts in order, as keys are
+                return part, texts, lambda k: found[np.searchsorted(keys, k)]
+
+            for batch in batches:
+                for block, part, v in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                    if block != now and now is not None:
+                        yield close()
+                    if part < 0:
+                        now, blob, got = block, v, []
+                    else:
+                        got.append(np.frombuffer(v, dtype=np.float64))
+            if now is not None:
+                yield close()
+
+        yield from rated(blocks())
+
+    blocks = materialize(rows.mapInArrow(pack, "rows binary").select(F.monotonically_increasing_id().alias("block"), "rows"), "lm-blocks")
+    counts = probed(blocks.mapInArrow(ask, "block long, part long, keys binary"), segments, bits)
+    both = blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col("rows").alias("v")).unionByName(counts.select("block", "part", F.col("counts").alias("v")))
+    return both.repartition(F.col("block")).sortWithinPartitions("block", "part").mapInArrow(rate, result)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Baseline and model log10 probabilities of every row's whole text.
 
@@ -252,12 +361,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     top = vocabulary.where(level >= head_from).toArrow()
     head_h, head_n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(head_h)
-    send = spark.sparkContext.broadcast((build_filter(train, n), head_h[order], head_n[order]))
+    segments, bits = build_filter(train, n)
+    whole = bits <= SENT_BITS
+    send = spark.sparkContext.broadcast((gathered(segments, bits) if whole else None, head_h[order], head_n[order]))
     denominator = float(n + v + 1)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, head, count = send.value
-        for part, texts in text_blocks(batches, "_t"):
+        lm = send.value[0]
+        yield from rated(((part, texts, lm.counts) for part, texts in text_blocks(batches, "_t")))
+
+    def rated(blocks: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        _, head, count = send.value
+        for part, texts, counts in blocks:
             token, begin = tokens(texts)
             one, two = grams(token, begin)
             word, at, back = np.unique(token, return_index=True, return_inverse=True)
@@ -273,13 +388,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if not head_from:
                 base += np.add.reduceat(np.where(found, 0.0, np.log10(1 / denominator))[back], start)
             offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-            held = lm.counts(one[at])  # probes for distinct words
+            held = counts(one[at])  # probes for distinct words
             uni = (held[back] + 1) / denominator
             # The count of the token before; a text's first is preceded by the start mark, met once a text as the end is.
             prior = np.empty(len(token))
             prior[1:] = held[back][:-1]
-            prior[start] = lm.counts(grams(np.array([END]), np.array([0, 1]))[0])[0]
-            pair = np.minimum(lm.counts(two), prior)
+            prior[start] = counts(END_KEY)[0]
+            pair = np.minimum(counts(two), prior)
             seen = prior > 0
             p = np.where(seen, LAMBDA * pair / np.maximum(prior, 1) + (1 - LAMBDA) * uni, uni)
             total = np.add.reduceat(np.log10(p), start)
@@ -288,7 +403,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 names=["_id", "_out", "n_tokens", "n_known", "base", "score", "rare"],
             )
 
-    scored = rows.mapInArrow(work, f"_id {kind}, _out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+    result = f"_id {kind}, _out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+    scored = rows.mapInArrow(work, result) if whole else _by_parts(rows, segments, bits, rated, result)
     if head_from:
         scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
         tail = vocabulary.where(level < head_from)
