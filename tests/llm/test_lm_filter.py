@@ -26,3 +26,12 @@ def test_bits_grow_with_the_members(spark, texts, monkeypatch):
         segments, bits = lm_score.build_filter(texts.where(f"doc_id < {share}").select(texts["text"].alias("_t")), share * 61)
         data = lm_score.gathered(segments, bits).data
         assert 0.1 < np.unpackbits(data).mean() < 0.35
+
+
+def test_n_grams_met_once_are_held(spark):
+    train = spark.createDataFrame([("once upon a time",)], "_t string")
+    segments, bits = lm_score.build_filter(train, 5)
+    one, two = lm_score.grams(*lm_score.tokens([b"once upon a time"]))
+    lm = lm_score.gathered(segments, bits)
+    assert (lm.counts(one) > 0).all() and (lm.counts(two) > 0).all()
+    assert (lm.counts(lm_score.grams(*lm_score.tokens([b"never met"]))[0][:2]) == 0).all()

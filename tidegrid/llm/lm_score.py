@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Unigrams and bigrams of the training texts are counted over the whole corpus.
-A count c >= 2 is quantised to q = 1 + floor(log2 c), and the n-gram goes into a
+A count c >= 1 is quantised to q = 1 + floor(log2 c), and the n-gram goes into a
 Bloom filter q times, as (n-gram, 1) to (n-gram, q). The filter is broadcast; a
 worker asks for (n-gram, 1), (n-gram, 2), ... until one is missing, which gives
 the count back within a factor of two, and never too low. Interpolated
@@ -30,7 +30,7 @@ HASH_BITS = 48
 #: Probes of a member.
 PROBES = 3
 #: Least count that the filter holds, at every size of corpus.
-LEAST = 2
+LEAST = 1
 #: Bits of the filter: eight a member (an n-gram at one level), rounded up to a power of two, 128 KB at least.
 #: A sixth to a third of the bits are set then, at every size of corpus.
 MEMBER_BITS, MIN_BITS = 8, 20
