@@ -6,8 +6,9 @@ and of the matches add up to the positions. The entropy scan looks at candidate
 strings: maximal runs of one character class. A window slides over a
 candidate's characters; counts change by one character in and one out, and
 with them the sum of c log c, so each step costs one update of the class's
-count array. A candidate whose best window reaches its class's limit is a
-span, unless the allow list suppresses it.
+count array. A candidate that holds every kind of character of its class
+and whose best window reaches the class's limit is a span; windows do not
+reach into what the allow list names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,18 @@ HEX = r"[0-9a-f]+"
 #: Shortest assigned value, access key and hexadecimal string.
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 
-#: Character classes of the entropy scan: name, candidate pattern, alphabet, window, least bits a character.
+#: Character classes of the entropy scan: name, candidate pattern, alphabet, window, least bits a character, what a candidate must hold.
 CLASSES = (
-    ("entropy_hex", r"(?<![0-9A-Fa-f])(?=[0-9A-Fa-f]{0,63}[0-9])(?=[0-9]{0,63}[A-Fa-f])[0-9A-Fa-f]{20,}(?![0-9A-Fa-f])", "0123456789abcdefABCDEF", 20, 2.9),
-    ("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[^A-Z]{0,63}[A-Z])(?=[^a-z]{0,63}[a-z])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.6),
+    ("entropy_hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 20, 2.9, ("[0-9]", "[A-Fa-f]")),
+    ("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.6, ("[0-9]", "[A-Z]", "[a-z]")),
 )
-#: Candidates that are no secrets: well-known examples and placeholders, UUIDs, runs of the alphabet.
-ALLOW = r"(?i)example|placeholder|changeme|x{6,}|0{8,}|1234567890|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-"
+#: Shortest candidate, and shortest rest of one beside what is allowed.
+LEAST = 20
+#: What is no secret: well-known examples and placeholders, runs of the alphabet. Only the letters and digits around it are left out of a candidate.
+ALLOW = r"(?i)example|placeholder|changeme|x{6,}|0{8,}|1234567890|abcdefgh"
+ALLOWED = r"(?i)wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:" + ALLOW.removeprefix("(?i)") + r")[A-Za-z0-9]*"
+#: A candidate that is one UUID.
+UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -109,8 +115,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     rows = rows.select("_id", *[f"_{n}" for n, *_ in kinds], F.concat(*[spans(n, r) for n, r in order.items()]).alias("_base"))
     more = []
-    for rank, (name, _, alphabet, window, least) in enumerate(CLASSES, len(order)):
-        good = F.filter(f"_{name}", lambda m: ~m["found"].rlike(ALLOW) & ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (b["stop"] >= m["stop"])) & (best_window(m["found"], alphabet, window) >= least))  # noqa: B023
+    for rank, (name, _, alphabet, window, least, held) in enumerate(CLASSES, len(order)):
+        def secret(m: Column) -> Column:
+            found = m["found"]
+            rest = F.when(found.rlike(ALLOW), F.split(found, ALLOWED, -1)).otherwise(F.array(found))
+            shown = F.exists(rest, lambda p: F.when(F.char_length(p) >= LEAST, best_window(p, alphabet, window) >= least).otherwise(False))  # noqa: B023
+            ok = ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (b["stop"] >= m["stop"])) & ~found.rlike(UUID)
+            for kind in held:  # noqa: B023
+                ok = ok & found.rlike(kind)
+            return F.when(ok, shown).otherwise(False)
+
+        good = F.filter(f"_{name}", secret)
         rows = rows.withColumn(f"_{name}", good)
         more.append(spans(name, rank))
     text = lambda a: F.array_join(F.transform(F.array_sort(a), lambda m: F.concat_ws(":", m["kind"], m["start"], m["stop"])), ",")
