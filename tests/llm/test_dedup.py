@@ -31,7 +31,16 @@ def test_chunks_join_to_the_text(spark):
     text = "\n".join("word" * (i % 40) + ". " + "é" * i for i in range(300))
     d = spark.createDataFrame([(text,), ("",), ("x" * 9000,)], "text string")
     for t, c in d.select("text", exact_dedup.chunks(d["text"])).collect():
-        assert "".join(c) == t and all(len(x) <= 4098 for x in c)
+        assert "".join(c) == t and all(len(x) <= 4096 for x in c)
+
+
+def test_chunks_meet_again_after_an_insertion(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9))) for _ in range(5000)]
+    text = " ".join(words)
+    d = spark.createDataFrame([(text,), ("inserted here " + text,), (text[:9000] + "more " + text[9000:],)], "text string")
+    a, b, c = (set(r[0]) for r in d.select(exact_dedup.chunks(d["text"])).collect())
+    assert len(a) > 20 and len(a & b) >= 0.8 * len(a) and len(a & c) >= 0.8 * len(a)
 
 
 def brute_fingerprint(text, k=3):
@@ -67,21 +76,11 @@ def test_links_equal_brute_force(spark, direct, monkeypatch):
             fps.add(x)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    if direct != 4096:  # the split of long postings, in this process
-        monkeypatch.setattr(simhash, "DIRECT", direct)
-        a, i = np.array(fps, dtype=np.uint64), np.arange(len(fps))
-        found = set()
-        for block in simhash.BLOCKS:
-            octets = a.view(np.uint8).reshape(-1, 8)[:, list(block)]
-            _, group = np.unique(octets, axis=0, return_inverse=True)
-            for g in np.unique(group):
-                m = group.ravel() == g
-                for x, y in simhash._posting_edges(a[m], i[m], block, 3, 5) if m.sum() > 1 else ():
-                    found |= {(int(p), int(q)) for p, q in zip(x, y, strict=True)}
-        pairs = found
-    else:
-        d = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "_fp long, _rep long")
-        pairs = {(r.a, r.b) for r in simhash.links(d).collect()}
+    monkeypatch.setattr(simhash, "DIRECT", direct)
+    d = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "_fp long, _rep long")
+    pairs = {(r.a, r.b) for r in simhash.links(d).collect()}
+    if direct == 3:
+        assert simhash.postings(d).where("_b >= 1000").count() > 0  # split twice
 
     def classes(edges):
         root = list(range(len(fps)))
@@ -98,6 +97,21 @@ def test_links_equal_brute_force(spark, direct, monkeypatch):
     assert classes(pairs) == want
 
 
+def test_tally():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 300, dtype=np.uint64) & rng.integers(0, 1 << 63, 300, dtype=np.uint64) & np.uint64(0x00FF0F00FFF00F01)
+    assert simhash.tallied(x).tolist() == [sum(b == 0 for b in int(v).to_bytes(8, "little")) for v in x]
+
+
+def test_the_count_filter_drops_pairs():
+    """Four shared bytes are not enough: such a pair meets in a posting and is dropped by the tally."""
+    fp = np.array([0, 0x0101010100000000, 0x0101010000000000], dtype=np.uint64)
+    assert simhash.tallied(fp[0] ^ fp[1:]).tolist() == [4, 5]
+    i, j = simhash._forest(fp, 3, 5)
+    assert (len(i), len(simhash._forest(fp, 4, 5)[0]), len(simhash._forest(fp, 4, 4)[0])) == (2, 2, 2)
+    assert len(simhash._forest(fp[:2], 4, 5)[0]) == 0 and len(simhash._forest(fp[:2], 4, 4)[0]) == 1
+
+
 def test_near_duplicates(spark):
     words = " ".join(f"w{i}" for i in range(3000))
     rows = [(5, words), (3, words + " tail"), (9, None), (8, ""), (7, "other text here"), (None, "other text here"), (11, words)]

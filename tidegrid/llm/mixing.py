@@ -2,8 +2,10 @@
 
 A document's place in the mix is a hash of its id, so a budget is a threshold
 on that hash. Tokens are summed by source and hash bucket; the bucket in which
-the budget runs out is found from the running sum over buckets and refined, by
-twenty more bits of the hash each time, until it is one hash value. Budgets
+the budget runs out is found from the running sum over at most 1,024 buckets a
+source and refined, by ten more bits of the hash each time, until it is one
+hash value. Sums are formed before anything is shuffled, so a level moves at
+most 1,024 rows a source and task, however many documents a source has. Budgets
 nest: the documents of a smaller budget are among those of a larger one. No
 document is sorted, and only the boundary bucket is looked at again.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Hash bits in all, and by refinement.
-BITS, STEP = 60, 20
+BITS, STEP = 60, 10
 #: Sources up to which the small per-source table is broadcast (under 10 MB).
 BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"

@@ -30,6 +30,8 @@ CLASSES = (
     ("entropy_hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 20, 2.9, ("[0-9]", "[A-Fa-f]")),
     ("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.6, ("[0-9]", "[A-Z]", "[a-z]")),
 )
+#: Matches whose places are summed up at once.
+MATCH_BLOCK = 128
 #: Shortest candidate, and shortest rest of one beside what is allowed.
 LEAST = 20
 #: What is no secret: well-known examples and placeholders, runs of the alphabet. Only the letters and digits around it are left out of a candidate.
@@ -39,20 +41,45 @@ ALLOWED = r"(?i)wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(?<![A-Za-z0-9])[A-Za-z
 UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside a lambda an outer expression would be computed at every step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of structs (start, stop, found): leftmost non-overlapping matches, in code points."""
+    """Array of structs (start, stop, found): leftmost non-overlapping matches, in code points.
+
+    Positions are running sums, formed within blocks of matches and over the
+    blocks' totals, so that many matches cost little more than few.
+    """
+    empty = F.array().cast("array<struct<start:int,stop:int,found:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("list"))
+    pairs = F.zip_with(found, gaps, lambda f, g: F.struct(g.alias("gap"), F.coalesce(F.char_length(f), F.lit(0)).alias("len"), f.alias("found")))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + pair["gap"]
-        stop = begin + F.char_length(pair["found"])
+        stop = begin + pair["len"]
         one = F.struct(begin.alias("start"), stop.alias("stop"), pair["found"].alias("found"))
         return F.struct(stop.alias("at"), F.concat(acc["list"], F.array(one)).alias("list"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: F.struct(g.alias("gap"), f.alias("found")))
-    return F.aggregate(pairs, start, step)["list"]
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("list")), step)["list"]
+
+    def blocks_of(p: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(p), F.lit(1)), F.lit(MATCH_BLOCK))
+        return F.transform(first, lambda i: F.slice(p, i, MATCH_BLOCK))
+
+    def offsets(blocks: Column) -> Column:
+        total = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["len"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+        return F.aggregate(total, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["list"], F.array(acc["at"])).alias("list")))["list"]
+
+    def whole(p: Column) -> Column:
+        return _bound(blocks_of(p), lambda blocks: F.flatten(F.zip_with(blocks, offsets(blocks), placed)))
+
+    # The text after the last match is no match; without it, blocks hold matches only.
+    return _bound(pairs, lambda p: F.when(F.size(p) > 1, whole(F.slice(p, 1, F.size(p) - 1))).otherwise(empty))
 
 
 def best_window(candidate: Column, alphabet: str, window: int) -> Column:
@@ -61,8 +88,6 @@ def best_window(candidate: Column, alphabet: str, window: int) -> Column:
     A shorter candidate is one window. With S the sum of c log2 c over the
     window's counts, the entropy is log2 w - S / w.
     """
-    size = F.char_length(candidate)
-    w = F.least(size, F.lit(window))
     xlogx = F.array(*[F.lit(0.0 if c == 0 else c * math.log2(c)) for c in range(window + 1)])
     codes = F.transform(F.split(candidate, ""), lambda ch: F.position(ch, F.lit(alphabet)).cast("int"))
     zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
@@ -75,13 +100,19 @@ def best_window(candidate: Column, alphabet: str, window: int) -> Column:
         counts = F.transform(acc["counts"], lambda x, i: F.when(i == k, x + by).otherwise(x))
         return F.struct(counts.alias("counts"), (acc["s"] + term(c + by) - term(c)).alias("s"), acc["best"].alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        out = F.when(i > w, change(acc, F.element_at(codes, F.greatest(i - w, F.lit(1))), -1)).otherwise(acc)
-        now = change(out, F.element_at(codes, i), 1)
-        entropy = F.log2(w.cast("double")) - now["s"] / w
-        return F.struct(now["counts"].alias("counts"), now["s"].alias("s"), F.when(i >= w, F.greatest(now["best"], entropy)).otherwise(now["best"]).alias("best"))
+    def slide(codes: Column) -> Column:
+        size = F.size(codes)
+        w = F.least(size, F.lit(window))
+
+        def step(acc: Column, i: Column) -> Column:
+            out = F.when(i > w, change(acc, F.element_at(codes, F.greatest(i - w, F.lit(1))), -1)).otherwise(acc)
+            now = change(out, F.element_at(codes, i), 1)
+            entropy = F.log2(w.cast("double")) - now["s"] / w
+            return F.struct(now["counts"].alias("counts"), now["s"].alias("s"), F.when(i >= w, F.greatest(now["best"], entropy)).otherwise(now["best"]).alias("best"))
+
+        return F.aggregate(F.sequence(F.lit(1), size), zero, step)["best"]
 
-    return F.aggregate(F.sequence(F.lit(1), size), zero, step)["best"]
+    return _bound(codes, slide)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

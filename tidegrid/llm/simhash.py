@@ -2,12 +2,19 @@
 
 Fingerprints of 64 bits are 8 positional bytes. Two that differ in at most 3
 bits share at least 5 of the 8, which is the guaranteed minimum of the count
-filter. Posting lists of single bytes would pair almost everything, so the
-index uses four positions at a time: the 14 blocks of the Steiner system
-S(3, 4, 8), closed under complement, have a block inside any 5 positions, so
-every pair with 5 shared positional bytes meets in some posting. Within a
-posting shared bytes are tallied, pairs below 5 dropped, the rest verified by
-their differing bits; only a spanning forest of the verified links leaves it.
+filter. Posting lists of single bytes would pair almost everything, so a
+posting is a block of four positions with their bytes: the 14 blocks of the
+Steiner system S(3, 4, 8), closed under complement, have a block inside any 5
+positions, so every pair with 5 shared positional bytes meets in some posting.
+Within a posting the shared positional bytes of every pair are tallied, pairs
+below 5 are dropped, and only the rest is verified by its differing bits; a
+spanning forest of the verified links leaves the posting.
+
+A posting of more than ``DIRECT`` fingerprints is split before it is shuffled,
+by further parts of the fingerprint as keys: a fifth byte, which a pair must
+share anyway, then three of the six half bytes left, of which 3 differing bits
+leave at least three alone. Then 52 of 64 bits are the key, so no posting can
+hold more than 4,096 fingerprints.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, runs, small_batches, text_blocks, xxh64
@@ -27,8 +34,10 @@ from .components import components
 BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 #: Shared positional bytes of two fingerprints with at most 3 differing bits.
 SHARED = 5
-#: Fingerprints of a posting that are compared all with all; longer postings are split by a fifth byte first.
+#: Fingerprints of a posting that are compared all with all; longer postings are split. At least 4096 (the bits that the last split leaves).
 DIRECT = 4096
+#: Split postings up to which their keys are broadcast (16 MB); beyond, they are joined.
+SENT_KEYS = 1 << 20
 
 
 def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,23 +91,27 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return rows.mapInArrow(work, "_id long, _fp long")
 
 
+def tallied(x: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of pairs, from their exclusive ors: bytes that are zero."""
+    x = x | (x >> np.uint64(4))
+    x = x | (x >> np.uint64(2))
+    x = x | (x >> np.uint64(1))
+    return 8 - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
 def _forest(fp: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (index pairs) of a spanning forest of the links among ``fp``."""
     n = len(fp)
     left, right = [], []
-    octets = fp.view(np.uint8).reshape(-1, 8)
     step = max(1, (1 << 20) // n)
     for s in range(0, n, step):
         x = fp[s : s + step, None] ^ fp[None, :]
-        near = np.bitwise_count(x) <= bits
-        i, j = np.nonzero(near)
-        i += s
-        ok = i < j
+        i, j = np.nonzero(tallied(x) >= shared)  # the count filter
+        ok = i + s < j
         i, j = i[ok], j[ok]
-        tally = (octets[i] == octets[j]).sum(axis=1)
-        i, j = i[tally >= shared], j[tally >= shared]
-        left.append(i)
-        right.append(j)
+        near = np.bitwise_count(x[i, j]) <= bits  # verified last
+        left.append(i[near] + s)
+        right.append(j[near])
     a, b = np.concatenate(left), np.concatenate(right)
     root = np.arange(n)
     while len(a):
@@ -113,22 +126,68 @@ def _forest(fp: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.ndar
     return root[other], other
 
 
-def _posting_edges(fp: np.ndarray, ids: np.ndarray, positions: tuple[int, ...], bits: int, shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within one posting. A long one is split by each byte outside its block in turn.
+def _byte(p: int) -> Column:
+    return F.shiftrightunsigned("_fp", 8 * p).bitwiseAND(F.lit(255))
+
+
+def _half(p: int) -> Column:
+    return F.shiftrightunsigned("_fp", 4 * p).bitwiseAND(F.lit(15))
+
+
+def _joined(first: Column, *parts: tuple[Column, int]) -> Column:
+    for part, width in parts:
+        first = F.shiftleft(first, width).bitwiseOR(part)
+    return first
+
+
+def _by_four(prints: DataFrame) -> DataFrame:
+    """Postings of four positional bytes: ``_b`` is the block, ``_v`` the bytes."""
+    one = [F.struct(F.lit(n).alias("_b"), _joined(F.lit(0).cast("long"), *[(_byte(p), 8) for p in block]).alias("_v")) for n, block in enumerate(BLOCKS)]
+    return prints.select(F.explode(F.array(*one)).alias("_k"), "_fp", "_rep").select("_k._b", "_k._v", "_fp", "_rep")
+
 
-    Two of its members share a fifth byte, so they meet in one of the parts.
+def _by_five(rows: DataFrame) -> DataFrame:
+    """Postings of four and one more byte: ``_b`` is 8 x block + position + 16."""
+    parts = lambda n, block: [F.struct(F.lit(16 + 8 * n + p).alias("_b"), _joined(F.col("_v"), (_byte(p), 8)).alias("_v")) for p in range(8) if p not in block]
+    more = F.array()
+    for n, block in reversed(list(enumerate(BLOCKS))):
+        more = F.when(F.col("_b") == n, F.array(*parts(n, block))).otherwise(more) if n < len(BLOCKS) - 1 else F.array(*parts(n, block))
+    return rows.select(F.explode(more).alias("_k"), "_fp", "_rep").select("_k._b", "_k._v", "_fp", "_rep")
+
+
+def _by_halves(rows: DataFrame) -> DataFrame:
+    """Postings of five bytes and three of the six half bytes left: ``_b`` is 20 x the former and the choice, + 1000."""
+    def halves(n: int, p: int) -> list[int]:
+        return [h for q in range(8) if q != p and q not in BLOCKS[n] for h in (2 * q, 2 * q + 1)]
+
+    more = None
+    for n, block in enumerate(BLOCKS):
+        for p in range(8):
+            if p in block:
+                continue
+            b = 16 + 8 * n + p
+            own = F.array(*[F.struct(F.lit(1000 + 20 * b + i).alias("_b"), _joined(F.col("_v"), *[(_half(h), 4) for h in three]).alias("_v")) for i, three in enumerate(combinations(halves(n, p), 3))])
+            more = F.when(F.col("_b") == b, own) if more is None else more.when(F.col("_b") == b, own)
+    return rows.select(F.explode(more).alias("_k"), "_fp", "_rep").select("_k._b", "_k._v", "_fp", "_rep")
+
+
+def postings(prints: DataFrame) -> DataFrame:
+    """``(_b, _v, _fp, _rep)``: the index, with long postings replaced by their parts.
+
+    Sizes are counted with sums formed before the shuffle, so a long posting
+    reaches no task as a whole.
     """
-    if len(fp) <= DIRECT or len(positions) >= shared:  # compared in blocks of bounded memory
-        i, j = _forest(fp, bits, shared)
-        yield ids[i], ids[j]
-        return
-    octets = fp.view(np.uint8).reshape(-1, 8)
-    for p in set(range(8)) - set(positions):
-        order = np.argsort(octets[:, p], kind="stable")
-        cut = np.flatnonzero(np.diff(octets[order, p])) + 1
-        for part in np.split(order, cut):
-            if len(part) > 1:
-                yield from _posting_edges(fp[part], ids[part], (*positions, p), bits, shared)
+    done, rows = None, _by_four(prints)
+    for split in (_by_five, _by_halves):
+        long = materialize(rows.groupBy("_b", "_v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DIRECT).select("_b", "_v"), "long-postings")
+        n = long.count()
+        if n == 0:
+            break
+        small = F.broadcast(long) if n <= SENT_KEYS else long
+        kept = rows.join(small, ["_b", "_v"], "left_anti")
+        done = kept if done is None else done.unionByName(kept)
+        rows = split(rows.join(small, ["_b", "_v"], "left_semi"))
+    return rows if done is None else done.unionByName(rows)
 
 
 def links(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -138,39 +197,35 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     """
     if not 0 <= bits <= 3:
         raise ValueError("the index guarantees links of at most 3 differing bits")
-    byte = lambda p: F.shiftrightunsigned("_fp", 8 * p).bitwiseAND(F.lit(255))
-    keys = []
-    for n, block in enumerate(BLOCKS):
-        key = F.lit(n).cast("long")
-        for p in block:
-            key = F.shiftleft(key, 8).bitwiseOR(byte(p))
-        keys.append(key)
-    index = prints.select(F.explode(F.array(*keys)).alias("_key"), "_fp", "_rep")
-    index = index.repartition(F.col("_key")).sortWithinPartitions("_key")
+    index = postings(prints).repartition(F.col("_b"), F.col("_v")).sortWithinPartitions("_b", "_v")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key, fp, rep):
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.concatenate([cut, [len(key)]]))
-            a, b = [], []
+        def close(b, v, fp, rep):
+            cut = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (v[1:] != v[:-1])])) if len(b) else np.zeros(0, np.int64)
+            size = np.diff(np.concatenate([cut, [len(b)]]))
+            found = []
             for s, m in zip(cut[size > 1], size[size > 1], strict=True):
-                for x, y in _posting_edges(fp[s : s + m], rep[s : s + m], BLOCKS[int(key[s]) >> 32], bits, SHARED):
-                    a.append(x)
-                    b.append(y)
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                if len(x):
-                    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+                i, j = _forest(fp[s : s + m], bits, SHARED)
+                if len(i):
+                    found.append(np.stack([rep[s + i], rep[s + j]], axis=1))
+            if found:
+                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        held: list[list[np.ndarray]] = []  # batches since the last posting began
         for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            open_at = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0  # the last key may go on
-            yield from close(*[c[:open_at] for c in cols])
-            held = [c[open_at:] for c in cols]
-        yield from close(*held)
+            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()]
+            if not len(cols[0]):
+                continue
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])  # this posting may go on
+            open_at = int(last.argmax())
+            if open_at or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][-1], cols[1][-1])):
+                held.append([c[:open_at] for c in cols])
+                yield from close(*[np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
+            held.append([c[open_at:] for c in cols])
+        if held:
+            yield from close(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return index.mapInArrow(work, "a long, b long")
 
