@@ -1,3 +1,7 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -15,23 +19,62 @@ def test_a_large_filter_scores_alike(spark, texts, monkeypatch):
     """A filter too large to send keeps its size; its scores are those of one sent as a whole."""
     order = lambda d: sorted(map(str, lm_score.score(d).collect()))
     want = order(texts)
-    monkeypatch.setattr(lm_score, "SENT_BITS", 10)
-    monkeypatch.setattr(lm_score, "PART_BITS", 17)
+    monkeypatch.setattr(lm_score, "SENT_BITS", 1 << 10)
+    monkeypatch.setattr(lm_score, "PART_BITS", 1 << 17)
     assert order(texts) == want
 
 
 def test_bits_grow_with_the_members(spark, texts, monkeypatch):
-    monkeypatch.setattr(lm_score, "MIN_BITS", 15)
+    monkeypatch.setattr(lm_score, "MIN_BITS", 1 << 15)
     for share in (200, 400):
-        segments, bits = lm_score.build_filter(texts.where(f"doc_id < {share}").select(texts["text"].alias("_t")), share * 61)
+        segments, bits, _ = lm_score.build_filter(texts.where(f"doc_id < {share}").select(texts["text"].alias("_t")), share * 61)
         data = lm_score.gathered(segments, bits).data
-        assert 0.1 < np.unpackbits(data).mean() < 0.35
+        assert 0.35 < np.unpackbits(data).mean() < 0.42
 
 
 def test_n_grams_met_once_are_held(spark):
     train = spark.createDataFrame([("once upon a time",)], "_t string")
-    segments, bits = lm_score.build_filter(train, 5)
+    segments, bits, _ = lm_score.build_filter(train, 5)
     one, two = lm_score.grams(*lm_score.tokens([b"once upon a time"]))
     lm = lm_score.gathered(segments, bits)
-    assert (lm.counts(one) > 0).all() and (lm.counts(two) > 0).all()
-    assert (lm.counts(lm_score.grams(*lm_score.tokens([b"never met"]))[0][:2]) == 0).all()
+    assert (lm.levels(one) > 0).all() and (lm.levels(two) > 0).all()
+    assert (lm.levels(lm_score.grams(*lm_score.tokens([b"never met"]))[0][:2]) == 0).all()
+
+
+def model_of(train):
+    """The model with a dictionary in place of the filter."""
+    one, two = Counter(), Counter()
+    for words in train:
+        for a, b in zip(["<s>", *words], [*words, "</s>"], strict=True):
+            one[b] += 1
+            two[a, b] += 1
+    one["<s>"] = one["</s>"]
+    n, v = sum(one.values()) - one["<s>"], len(one) - 1
+    low, high = (lambda c: lm_score.LOW[lm_score.level_of(np.array([c]))[0]]), (lambda c: lm_score.HIGH[lm_score.level_of(np.array([c]))[0]])
+
+    def p(a, b):
+        uni = (low(one[b]) + 1) / (n + v + 1)
+        return (min(low(two[a, b]), low(one[a]), low(one[b])) + lm_score.MU * uni) / (high(one[a]) + lm_score.MU)
+
+    return p, one
+
+
+def test_score_is_the_models_probability(spark, monkeypatch):
+    """With a filter too large to err, ``score`` equals a dictionary model of the same quantisation."""
+    monkeypatch.setattr(lm_score, "MIN_BITS", 1 << 27)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 500)) for i in range(300)] + [(1000, ""), (1001, None), (1002, "unseen words w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p, _ = model_of([(t or "").split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    text = dict(rows)
+    for r in lm_score.score(docs).collect():
+        w = (text[r.doc_id] or "").split()
+        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], [*w, "</s>"], strict=True)), rel=1e-9)
+
+
+def test_probabilities_sum_up_to_one_at_most():
+    rng = np.random.default_rng(9)
+    p, one = model_of([[f"w{int(x)}" for x in rng.zipf(1.3, 40) % 500] for _ in range(400)])
+    words = [w for w in one if w != "<s>"] + ["<never met>"]
+    mass = [sum(p(a, b) for b in words) for a in [*[w for w in list(one)[:200] if w != "</s>"], "<s>", "<never met>"]]
+    assert 0.6 < min(mass) and max(mass) <= 1 + 1e-9

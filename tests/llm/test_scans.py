@@ -90,9 +90,10 @@ def test_bloom_counts():
     bits = 1 << 17
     data = np.zeros((bits << lm_score.SEGMENT_BITS) >> 3, dtype=np.uint8)
     data[: bits >> 3] = lm_score.Filter.segment(keys, counts, bits)  # segment 0: the upper bits are 0
-    got = lm_score.Filter(data).counts(keys)
-    true = 1.5 * 2.0 ** np.floor(np.log2(counts))
+    got = lm_score.Filter(data, bits).levels(keys)
+    true = lm_score.level_of(counts)
     assert (got >= true).all() and (got == true).mean() > 0.9
+    assert (lm_score.LOW[true] <= counts).all() and (counts <= lm_score.HIGH[true]).all() and (lm_score.HIGH[true] < 1.25 * counts + 1).all()
 
 
 def test_pack():

@@ -1,12 +1,27 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Unigrams and bigrams of the training texts are counted over the whole corpus.
-A count c >= 1 is quantised to q = 1 + floor(log2 c), and the n-gram goes into a
-Bloom filter q times, as (n-gram, 1) to (n-gram, q). The filter is broadcast; a
-worker asks for (n-gram, 1), (n-gram, 2), ... until one is missing, which gives
-the count back within a factor of two, and never too low. Interpolated
-probabilities come from such probes. The plain add-one baseline beside them
-uses exact counts.
+Unigrams and bigrams of the training texts are counted over the whole corpus,
+those met once too. A count is quantised to its level among ``THRESHOLDS``
+(exact up to 8, then four levels an octave), and the n-gram goes into a Bloom
+filter once for each level up to its own, as (n-gram, 1), (n-gram, 2), ...
+The filter is broadcast; a worker asks for (n-gram, 1), (n-gram, 2), ... until
+one is missing. The level reached bounds the count from both sides, unless
+probes err, which can only raise it.
+
+The model is a bigram estimate with a Dirichlet prior on unigram estimates,
+
+    p1(w)     = (low(w) + 1) / (N + V + 1)
+    p(w | h)  = (low(h w) + mu p1(w)) / (high(h) + mu + e V)
+
+with the least count of an n-gram's level for the numerators and the greatest
+one of the history's level for the denominator. The counts after a history sum
+up to its own, so the probabilities after any history sum up to one at most,
+less what quantising loses. Of the V words, a share e is found after a history
+though it never followed it, as membership probes err; e is the filter's share
+of set bits to the power of the probes, and e V (with three standard deviations) in the
+denominator makes room for them. The first level has more probes than the others, so that e V stays
+below the prior's weight. The plain add-one baseline beside them uses exact
+counts.
 
 Counts reach the builders as packed, sorted, difference-coded hashes of a
 bucket, so a bucket is the unit of work and the largest thing in memory.
@@ -27,22 +42,23 @@ from .common import SPACE, materialize, runs, small_batches, text_blocks, xxh64
 SEGMENT_BITS = 12
 #: Bits of an n-gram's hash; the upper ones are its segment.
 HASH_BITS = 48
-#: Probes of a member.
-PROBES = 3
-#: Least count that the filter holds, at every size of corpus.
-LEAST = 1
-#: Bits of the filter: eight a member (an n-gram at one level), rounded up to a power of two, 128 KB at least.
-#: A sixth to a third of the bits are set then, at every size of corpus.
-MEMBER_BITS, MIN_BITS = 8, 20
-#: A filter of up to 2^31 bits (256 MB) is broadcast. A larger one stays in the shared folder, and n-grams are sent
-#: to its parts of 2^27 bits (16 MB) each; the counts are the same.
-SENT_BITS, PART_BITS = 31, 27
+#: Probes of the first level, which decides whether an n-gram is held at all, and of the others.
+PROBES, MORE_PROBES = 12, 4
+#: Least counts of the levels 1, 2, ...: 1 to 7, then 4 to 7 times powers of two.
+THRESHOLDS = np.array([1, 2, 3, *[m << k for k in range(59) for m in (4, 5, 6, 7)]], dtype=np.int64)
+#: Least and greatest count of levels 0, 1, 2, ...
+LOW, HIGH = np.concatenate([[0], THRESHOLDS[:-1]]).astype(np.float64), np.concatenate([[0], THRESHOLDS[1:] - 1]).astype(np.float64)
+#: Share of bits set, at every size of corpus, and least size.
+FILL, MIN_BITS = 0.4, 1 << 20
+#: A filter of up to 2^29 bits (64 MB) is broadcast. A larger one stays in the shared folder, and n-grams are sent
+#: to its parts of at most 2^27 bits (16 MB) each; the scores are the same.
+SENT_BITS, PART_BITS = 1 << 29, 1 << 27
 #: Tokens that a counting task gathers before it passes their counts on.
 FLUSH = 2_000_000
 #: Most frequent words whose exact counts are broadcast (16 MB); rarer words are joined.
 HEAD = 1 << 20
-#: Weight of the bigram estimate.
-LAMBDA = 0.6
+#: Weight of the prior, in counts.
+MU = 64.0
 #: Hashes of the marks at a text's end and before its start.
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -80,6 +96,11 @@ def grams(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _mix(token) >> np.uint64(64 - HASH_BITS), pair >> np.uint64(64 - HASH_BITS)
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Levels of counts; 0 for none."""
+    return np.searchsorted(THRESHOLDS, counts, side="right")
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     gaps = np.diff(keys, prepend=np.uint64(0))
     wide = bool(len(gaps)) and int(gaps.max()) >= 1 << 32
@@ -125,50 +146,64 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def probes(level: int) -> int:
+    return PROBES if level == 1 else MORE_PROBES
+
+
 class Filter:
-    """The log-frequency Bloom filter."""
+    """The log-frequency Bloom filter: segments of ``segment_bits`` bits, whole bytes."""
 
-    def __init__(self, data: np.ndarray, segment_bits: int = 0, first: int = 0):
+    def __init__(self, data: np.ndarray, segment_bits: int, first: int = 0):
         self.data = data  # bytes, of the segments from the first on
-        self.segment_bits = segment_bits or len(data) * 8 >> SEGMENT_BITS
+        self.segment_bits = segment_bits
         self.first = first
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
-        """Bit numbers within the members' segments."""
+    def hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
-            return _mix(keys * _M1 + np.uint64(level * 131 + probe + 1)) & np.uint64(segment_bits - 1)
+            h = _mix(keys * _M1 + np.uint64(level))
+        return h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+
+    @staticmethod
+    def place(one: np.ndarray, two: np.ndarray, probe: int, segment_bits: int) -> np.ndarray:
+        """Bit numbers within the members' segments."""
+        return ((one + np.uint64(probe) * two) & np.uint64(0xFFFFFFFF)) * np.uint64(segment_bits) >> np.uint64(32)
 
     @staticmethod
     def segment(keys: np.ndarray, counts: np.ndarray, segment_bits: int) -> np.ndarray:
         """One segment's bytes with the members ``keys`` at their quantised counts."""
         bits = np.zeros(segment_bits, dtype=np.uint8)
-        level = np.floor(np.log2(counts)).astype(np.int64) + 1 if len(counts) else counts
+        level = level_of(counts)
         for j in range(1, int(level.max(initial=0)) + 1):
-            k = keys[level >= j]
-            for p in range(PROBES):
-                bits[Filter.places(k, j, p, segment_bits)] = 1
+            one, two = Filter.hashes(keys[level >= j], j)
+            for p in range(probes(j)):
+                bits[Filter.place(one, two, p, segment_bits)] = 1
         return np.packbits(bits, bitorder="little")
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts by repeated probes: 0 if not held, else 1.5 times the power of two reached."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated probes: 0 if not held; never below the true one."""
         base = ((keys >> np.uint64(HASH_BITS - SEGMENT_BITS)) - np.uint64(self.first)) * np.uint64(self.segment_bits)
-        out = np.zeros(len(keys))
+        out = np.zeros(len(keys), dtype=np.int64)
         live = np.arange(len(keys))
-        for j in range(1, 64):
-            k, b = keys[live], base[live]
-            for p in range(PROBES):
-                bit = b + self.places(k, j, p, self.segment_bits)
+        for j in range(1, len(THRESHOLDS)):
+            one, two = self.hashes(keys[live], j)
+            for p in range(probes(j)):
+                bit = base[live] + self.place(one, two, p, self.segment_bits)
                 hit = (self.data[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                live, k, b = live[hit], k[hit], b[hit]
+                live, one, two = live[hit], one[hit], two[hit]
             if not len(live):
                 break
-            out[live] = 1.5 * 2.0 ** (j - 1)
+            out[live] = j
         return out
 
 
-def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """Counts all n-grams of the training rows and fills the filter: segments ``(s, v)``, to be or-ed, and its bits' log2."""
+def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int, float]:
+    """Counts all n-grams of the training rows and fills the filter: segments ``(s, ones, v)``, their bits, the filter's error rate.
+
+    A segment's buckets are or-ed where it is filled, so as many bytes leave it
+    as it has, whatever the corpus; a segment cut by a split of the files comes
+    twice, to be or-ed.
+    """
     # Finer buckets for larger corpora: about 2^20 tokens a bucket, so a bucket fits in a worker.
     bucket_bits = max(SEGMENT_BITS, int(max(total, 1)).bit_length() - 20)
     shift = np.uint64(HASH_BITS - bucket_bits)
@@ -199,9 +234,7 @@ def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int]:
         def close(bucket: int, blobs: list[bytes]):
             parts = [_unpack(x) for x in blobs]
             k, c = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            keep = c >= LEAST
-            members = int((np.floor(np.log2(c[keep])) + 1).sum())
-            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([members]), pa.array([_pack(k[keep], c[keep])], pa.binary())], names=["b", "m", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([PROBES * len(c) + MORE_PROBES * int((level_of(c) - 1).sum())]), pa.array([_pack(k, c)], pa.binary())], names=["b", "m", "v"])
 
         now, blobs = None, []
         for b in batches:
@@ -214,36 +247,51 @@ def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int]:
         if blobs:
             yield close(now, blobs)
 
-    packed = train.mapInArrow(count, "b long, v binary").repartition(F.col("b")).sortWithinPartitions("b")
+    # Buckets of one segment go to one task, one after another.
+    packed = train.mapInArrow(count, "b long, v binary").repartition(F.shiftright("b", bucket_bits - SEGMENT_BITS)).sortWithinPartitions("b")
     merged = materialize(packed.mapInArrow(merge, "b long, m long, v binary"), "lm-counts")
-    members = merged.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    bits = max((MEMBER_BITS * max(members, 1) - 1).bit_length(), MIN_BITS)
-    segment_bits = 1 << (bits - SEGMENT_BITS)
+    marks = merged.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    segment_bits = max(int(marks / -np.log1p(-FILL)), MIN_BITS) // (8 << SEGMENT_BITS) * 8 + 8
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([int(np.bitwise_count(held).sum())]), pa.array([held.tobytes()], pa.binary())], names=["s", "ones", "v"])
+
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 k, c = _unpack(blob)
-                bytes_ = Filter.segment(k | (np.uint64(bucket) << shift), c, segment_bits).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket >> (bucket_bits - SEGMENT_BITS)]), pa.array([bytes_], pa.binary())], names=["s", "v"])
-
-    return materialize(merged.select("b", "v").mapInArrow(fill, "s long, v binary"), "lm-segments"), bits
-
-
-def gathered(segments: DataFrame, bits: int) -> Filter:
+                data = Filter.segment(k | (np.uint64(bucket) << shift), c, segment_bits)
+                segment = bucket >> (bucket_bits - SEGMENT_BITS)
+                if segment == now:
+                    held |= data
+                    continue
+                if now is not None:
+                    yield row()
+                now, held = segment, data
+        if now is not None:
+            yield row()
+
+    segments = materialize(merged.select("b", "v").mapInArrow(fill, "s long, ones long, v binary"), "lm-segments")
+    ones = segments.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0]
+    return segments, segment_bits, min(ones / (segment_bits << SEGMENT_BITS), 1.0) ** PROBES
+
+
+def gathered(segments: DataFrame, segment_bits: int) -> Filter:
     """The whole filter on the driver."""
-    data = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    width = len(data) >> SEGMENT_BITS
-    for r in segments.toLocalIterator():  # 2^bits bits in all for one bucket a segment
+    width = segment_bits >> 3
+    data = np.zeros(width << SEGMENT_BITS, dtype=np.uint8)
+    for r in segments.select("s", "v").toLocalIterator():  # SENT_BITS in all, but for segments cut by a split
         data[r.s * width : (r.s + 1) * width] |= np.frombuffer(r.v, dtype=np.uint8)
-    return Filter(data)
+    return Filter(data, segment_bits)
 
 
-def probed(asked: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
+def probed(asked: DataFrame, segments: DataFrame, segment_bits: int) -> DataFrame:
     """``(block, part, counts)`` for the keys ``(block, part, keys)``: every key meets the part of the filter that holds its segment."""
-    part_bits = _part_bits(bits)
+    part_bits = _part_bits(segment_bits)
     low = SEGMENT_BITS - part_bits
-    width = 1 << (bits - 3 - SEGMENT_BITS)
+    width = segment_bits >> 3
     part = F.shiftright("s", low)
     both = segments.select(part.alias("part"), F.lit(0).alias("kind"), F.col("s").alias("block"), "v").unionByName(asked.select("part", F.lit(1).alias("kind"), "block", F.col("keys").alias("v")))
     both = both.repartition(1 << part_bits, F.col("part")).sortWithinPartitions("part", "kind")
@@ -259,27 +307,28 @@ def probed(asked: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
                     at = (block - (p << low)) * width
                     data[at : at + width] |= np.frombuffer(v, dtype=np.uint8)
                 else:
-                    got = lm.counts(np.frombuffer(v, dtype=np.uint64)).astype(np.float64).tobytes()
+                    got = lm.levels(np.frombuffer(v, dtype=np.uint64)).astype(np.uint8).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p]), pa.array([got], pa.binary())], names=["block", "part", "counts"])
 
     return both.mapInArrow(work, "block long, part long, counts binary")
 
 
-def _part_bits(bits: int) -> int:
-    return min(max(bits - PART_BITS, 0), SEGMENT_BITS)
+def _part_bits(segment_bits: int) -> int:
+    parts = -(-(segment_bits << SEGMENT_BITS) // PART_BITS)
+    return min((parts - 1).bit_length(), SEGMENT_BITS)
 
 
 #: Key of the end mark.
 END_KEY = grams(np.array([END]), np.array([0, 1]))[0]
 
 
-def _by_parts(rows: DataFrame, segments: DataFrame, bits: int, rated: Callable, result: str) -> DataFrame:
+def _by_parts(rows: DataFrame, segments: DataFrame, segment_bits: int, rated: Callable, result: str) -> DataFrame:
     """What ``rated`` yields with a filter that no worker holds as a whole.
 
     Texts are kept in blocks; the distinct keys of a block go to the filter's
     parts and their counts come back to the block.
     """
-    part_bits = _part_bits(bits)
+    part_bits = _part_bits(segment_bits)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in text_blocks(batches, "_t"):
@@ -320,14 +369,14 @@ def _by_parts(rows: DataFrame, segments: DataFrame, bits: int, rated: Callable,
                     if part < 0:
                         now, blob, got = block, v, []
                     else:
-                        got.append(np.frombuffer(v, dtype=np.float64))
+                        got.append(np.frombuffer(v, dtype=np.uint8).astype(np.int64))
             if now is not None:
                 yield close()
 
         yield from rated(blocks())
 
     blocks = materialize(rows.mapInArrow(pack, "rows binary").select(F.monotonically_increasing_id().alias("block"), "rows"), "lm-blocks")
-    counts = probed(blocks.mapInArrow(ask, "block long, part long, keys binary"), segments, bits)
+    counts = probed(blocks.mapInArrow(ask, "block long, part long, keys binary"), segments, segment_bits)
     both = blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col("rows").alias("v")).unionByName(counts.select("block", "part", F.col("counts").alias("v")))
     return both.repartition(F.col("block")).sortWithinPartitions("block", "part").mapInArrow(rate, result)
 
@@ -339,6 +388,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     score``. Rows whose crc32 of the id as text (null: empty) mod 7 is 2 are
     held out, the others train. Words are ASCII-blank-parted after lower-casing
     A-Z, then comes one end mark; a null or empty text is the end mark alone.
+    ``score`` is the sum over all tokens of log10 p(token | token before).
     Words are counted by 64-bit hash. Repeated rows count as often and are
     scored alike; without training rows all counts are 0; an empty table gives
     an empty result; other columns are ignored.
@@ -361,18 +411,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     top = vocabulary.where(level >= head_from).toArrow()
     head_h, head_n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(head_h)
-    segments, bits = build_filter(train, n)
-    whole = bits <= SENT_BITS
-    send = spark.sparkContext.broadcast((gathered(segments, bits) if whole else None, head_h[order], head_n[order]))
+    segments, segment_bits, error = build_filter(train, n)
+    whole = segment_bits << SEGMENT_BITS <= SENT_BITS
+    erring = error * v
+    room = MU + erring + 3 * erring**0.5  # three deviations above the expected number
+    send = spark.sparkContext.broadcast((gathered(segments, segment_bits) if whole else None, head_h[order], head_n[order]))
     denominator = float(n + v + 1)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = send.value[0]
-        yield from rated(((part, texts, lm.counts) for part, texts in text_blocks(batches, "_t")))
+        yield from rated(((part, texts, lm.levels) for part, texts in text_blocks(batches, "_t")))
 
     def rated(blocks: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         _, head, count = send.value
-        for part, texts, counts in blocks:
+        for part, texts, levels in blocks:
             token, begin = tokens(texts)
             one, two = grams(token, begin)
             word, at, back = np.unique(token, return_index=True, return_inverse=True)
@@ -388,15 +440,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if not head_from:
                 base += np.add.reduceat(np.where(found, 0.0, np.log10(1 / denominator))[back], start)
             offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
-            held = counts(one[at])  # probes for distinct words
-            uni = (held[back] + 1) / denominator
-            # The count of the token before; a text's first is preceded by the start mark, met once a text as the end is.
-            prior = np.empty(len(token))
+            held = levels(one[at])  # probes for distinct words
+            uni = (LOW[held][back] + 1) / denominator
+            # The history is the word before; a text's first one follows the start mark, met once a text as the end mark is.
+            prior = np.empty(len(token), dtype=np.int64)
             prior[1:] = held[back][:-1]
-            prior[start] = counts(END_KEY)[0]
-            pair = np.minimum(counts(two), prior)
-            seen = prior > 0
-            p = np.where(seen, LAMBDA * pair / np.maximum(prior, 1) + (1 - LAMBDA) * uni, uni)
+            prior[start] = levels(END_KEY)[0]
+            pair = np.minimum(levels(two), np.minimum(prior, held[back]))
+            p = (LOW[pair] + MU * uni) / (HIGH[prior] + room)
             total = np.add.reduceat(np.log10(p), start)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[rare].view(np.int64)))],
@@ -404,7 +455,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             )
 
     result = f"_id {kind}, _out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-    scored = rows.mapInArrow(work, result) if whole else _by_parts(rows, segments, bits, rated, result)
+    scored = rows.mapInArrow(work, result) if whole else _by_parts(rows, segments, segment_bits, rated, result)
     if head_from:
         scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
         tail = vocabulary.where(level < head_from)

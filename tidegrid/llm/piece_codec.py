@@ -5,20 +5,26 @@ in front; pieces hold word marks only at their start, so a text falls into
 words before marks. Distinct words of equal length advance together through a
 lattice: at each end position, hashes of the substrings that end there probe
 the sorted piece keys, and a vectorised maximum over the start positions
-stores the backpointer.
-
-In a unigram model an arc weighs its piece's log probability, and the best
-path is the encoding. A BPE model has no additive weights, so no path weight
-gives its encoding; there, equal-length words advance together through the
-merges instead: the same hashes probe the same sorted keys for the piece that
-two neighbours make, and a vectorised maximum over the neighbours picks each
-word's next merge. Results equal the SentencePiece library's for both kinds
-(for models without text normalisation that keep spaces).
+stores the backpointer. An arc weighs its piece's log probability, and the best
+path is the encoding.
+
+The weights are those of a unigram model file. A BPE model file has none: its
+scores only number the merges. Its pieces then get the log probabilities of
+Zipf's law by that number, which is a unigram model with the same vocabulary
+(``unigram``); results equal the SentencePiece library's for the model file
+that ``Model.to_bytes`` writes. ``merges=True`` gives a BPE model's own
+encoding instead, by carrying out its merges.
+
+A word longer than ``LONG`` is cut where no piece of two or more characters
+crosses; what is still longer goes through the same lattice alone, or through
+a heap of merges, so that a text without blanks takes time in proportion to
+its length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +42,8 @@ _MARK = ord(MARK)
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Piece kinds of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Characters of a word that is encoded together with others.
+LONG = 256
 #: Ids that a worker keeps for words it has met, before it starts anew.
 CACHE_IDS = 4_000_000
 
@@ -77,6 +85,7 @@ class Model:
 
     def __init__(self, data: bytes):
         self.pieces, self.scores, self.kinds = [], [], []
+        self.rest: list[tuple[int, bytes]] = []  # messages other than pieces
         self.bpe, self.dummy_prefix, self.squeeze = False, True, True
         for number, value in _fields(data):
             if number == 1:
@@ -84,7 +93,9 @@ class Model:
                 self.pieces.append(piece[1].decode())
                 self.scores.append(piece[2])
                 self.kinds.append(piece[3])
-            elif number == 2:
+                continue
+            self.rest.append((number, value))
+            if number == 2:
                 self.bpe = dict(_fields(value)).get(3, 1) == 2
             elif number == 3:
                 spec = dict(_fields(value))
@@ -98,6 +109,35 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
 
+    def unigram(self) -> Model:
+        """This model if it is a unigram one; else the unigram model of its pieces, with Zipf's law over the merges' numbers."""
+        if not self.bpe:
+            return self
+        out = Model.__new__(Model)
+        out.__dict__.update(self.__dict__)
+        normal = [i for i, k in enumerate(self.kinds) if k == NORMAL]
+        rank = {i: r for r, i in enumerate(sorted(normal, key=lambda i: (-self.scores[i], i)), 1)}
+        total = float(np.log(np.sum(1 / np.arange(1, len(normal) + 1))))
+        out.scores = [float(np.float32(-np.log(rank[i]) - total)) if i in rank else 0.0 for i in range(len(self.pieces))]
+        out.bpe = False
+        return out
+
+    def to_bytes(self) -> bytes:
+        """A model file with these pieces and weights, of the unigram kind."""
+        def varint(n: int) -> bytes:
+            out = b""
+            while n > 127:
+                out, n = out + bytes([n & 127 | 128]), n >> 7
+            return out + bytes([n])
+
+        def field(number: int, data: bytes) -> bytes:
+            return varint(number << 3 | 2) + varint(len(data)) + data
+
+        parts = [field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(k)) for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
+        for number, value in self.rest:
+            parts.append(field(number, value + varint(3 << 3) + varint(1) if number == 2 else value))  # the last value of a field counts
+        return b"".join(parts)
+
 
 def _hash(points: np.ndarray, base: np.uint64) -> np.ndarray:
     """Prefix hashes along the last axis, one longer than ``points``."""
@@ -139,9 +179,11 @@ class Codec:
             power1.append(power1[-1] * int(_B1) % 2**64)
             power2.append(power2[-1] * int(_B2) % 2**64)
         self.power1, self.power2 = np.array(power1, dtype=np.uint64), np.array(power2, dtype=np.uint64)
+        self.salt = 1
         self._forget()
 
     def _forget(self) -> None:
+        self.word_check = np.zeros(0, np.uint64)
         self.word_key, self.word_at, self.word_n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
@@ -229,6 +271,86 @@ class Codec:
         # What is no piece is a single unknown character.
         return np.where(ids >= 0, ids, self.size + words[row, start].astype(np.int64)), alive.sum(axis=1)
 
+    def _cuts(self, points: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Starts of the parts of one word that no piece of two or more characters joins."""
+        n = len(points)
+        joined = np.zeros(n + 1, dtype=np.int64)
+        for length in range(2, min(self.longest, n) + 1):
+            start = np.arange(n - length + 1)
+            hit = start[self._probe(h1, h2, np.zeros(1, np.int64), start, start + length) >= 0]
+            np.add.at(joined, hit + 1, 1)
+            np.add.at(joined, hit + length, -1)
+        return np.flatnonzero(np.concatenate([[True], np.cumsum(joined)[1:n] == 0]))
+
+    def _heaped(self, points: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Units of one long word after all merges, by a heap: best score first, leftmost of equals."""
+        n = points.shape[1]
+        start = np.arange(n - 1)
+        first = self._probe(h1, h2, np.zeros(1, np.int64), start, start + 2)
+        heap = [(-self.weight[p], i, i + 2, p) for i, p in zip(start[first >= 0].tolist(), first[first >= 0].tolist(), strict=True)]
+        heapq.heapify(heap)
+        end, before, alive = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1" * n)
+        one = np.zeros(1, np.int64)
+
+        def offer(a: int, c: int) -> None:
+            if c - a <= self.longest:
+                p = int(self._probe(h1, h2, one, np.array([a]), np.array([c]))[0])
+                if p >= 0:
+                    heapq.heappush(heap, (-self.weight[p], a, c, p))
+
+        while heap:
+            _, a, c, _ = heapq.heappop(heap)
+            b = end[a]
+            if not alive[a] or b >= c or end[b] != c:
+                continue  # a part has changed since
+            end[a] = c
+            alive[b] = 0
+            before[c] = a
+            if c < n:
+                offer(a, end[c])
+            if a > 0:
+                offer(before[a], c)
+        at = np.flatnonzero(np.frombuffer(bytes(alive), dtype=np.uint8))
+        ids = self._probe(h1, h2, one, at, np.array(end)[at])
+        return np.where(ids >= 0, ids, self.size + points[0, at].astype(np.int64))
+
+    def _one_long(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of one word longer than ``LONG``, as ``_viterbi``: its separate parts, equal lengths together."""
+        whole = points[None, :]
+        h1, h2 = _hash(whole, _B1), _hash(whole, _B2)
+        begin = self._cuts(points, h1, h2)
+        length = np.diff(np.concatenate([begin, [len(points)]]))
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # units, with the place of each part's first one kept by order
+        place, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        total = 0
+        order = np.argsort(length, kind="stable")
+        for s, e in _spans(length[order]):
+            n = int(length[order[s]])
+            step = max(1, 2_000_000 // (n + 1))
+            for f in range(s, e, step):
+                rows = order[f : min(f + step, e)]
+                words = points[begin[rows][:, None] + np.arange(n)]
+                a, b = _hash(words, _B1), _hash(words, _B2)
+                if not self.model.bpe:
+                    flat, k = self._viterbi(words, a, b)
+                elif n > LONG:
+                    parts = [self._heaped(words[i : i + 1], a[i : i + 1], b[i : i + 1]) for i in range(len(rows))]
+                    flat, k = np.concatenate(parts), np.array([len(p) for p in parts])
+                else:
+                    flat, k = self._merged(words, a, b)
+                place[rows], count[rows] = total + np.cumsum(k) - k, k
+                found.append(flat)
+                total += len(flat)
+        flat = np.concatenate(found)
+        at = np.repeat(place - (np.cumsum(count) - count), count) + np.arange(total)
+        return flat[at], np.array([total])
+
+    def _units(self, words: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if words.shape[1] > LONG:
+            parts = [self._one_long(w) for w in words]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return (self._merged if self.model.bpe else self._viterbi)(words, h1, h2)
+
     def _ids(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces, or the unknown id, for unknown characters."""
         odd = flat >= self.size
@@ -263,7 +385,8 @@ class Codec:
         length = np.diff(np.concatenate([begin, [len(points)]]))
         key = np.zeros(len(begin), dtype=np.uint64)
         order = np.argsort(length, kind="stable")
-        fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, ids in a row, counts
+        check = np.zeros(len(begin), dtype=np.uint64)
+        fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # keys, ids in a row, counts, second hashes
         for s, e in _spans(length[order]):
             rows, n = order[s:e], int(length[order[s]])
             step = max(1, 2_000_000 // (n + 1))
@@ -271,23 +394,29 @@ class Codec:
                 part = rows[f : f + step]
                 words = points[begin[part][:, None] + np.arange(n)]
                 h1, h2 = _hash(words, _B1), _hash(words, _B2)
-                k = h1[:, -1] * _B2 ^ h2[:, -1] ^ np.uint64(n)
-                key[part] = k
+                with np.errstate(over="ignore"):
+                    k = h1[:, -1] * _B2 ^ h2[:, -1] * np.uint64(self.salt % (1 << 64)) ^ np.uint64(n)
+                key[part], check[part] = k, h2[:, -1]
                 k, one = np.unique(k, return_index=True)
                 if len(self.word_key):
                     at = np.minimum(np.searchsorted(self.word_key, k), len(self.word_key) - 1)
                     new = self.word_key[at] != k
                     k, one = k[new], one[new]
                 if len(k):
-                    fresh.append((k, *self._ids(*(self._merged if self.model.bpe else self._viterbi)(words[one], h1[one], h2[one]))))
+                    fresh.append((k, *self._ids(*self._units(words[one], h1[one], h2[one])), h2[one, -1]))
         if fresh:
             k, count = np.concatenate([x[0] for x in fresh]), np.concatenate([x[2] for x in fresh])
             place = len(self.pool) + np.cumsum(count) - count
             self.pool = np.concatenate([self.pool, *[x[1] for x in fresh]])
             o = np.argsort(k)
             at = np.searchsorted(self.word_key, k[o])
-            self.word_key, self.word_at, self.word_n = (np.insert(old, at, new[o]) for old, new in ((self.word_key, k), (self.word_at, place), (self.word_n, count)))
+            second = np.concatenate([x[3] for x in fresh])
+            self.word_key, self.word_at, self.word_n, self.word_check = (np.insert(old, at, new[o]) for old, new in ((self.word_key, k), (self.word_at, place), (self.word_n, count), (self.word_check, second)))
         at = np.searchsorted(self.word_key, key)
+        if (self.word_check[at] != check).any():  # two words with one key: drawn anew
+            self.salt = self.salt * 2 + 1
+            self._forget()
+            return self.encode(texts)
         n = self.word_n[at]
         ids = self.pool[np.repeat(self.word_at[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -310,14 +439,17 @@ def _spans(ordered: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
 
 
-def load(path: str = MODEL) -> Codec:
+def load(path: str = MODEL, merges: bool = False) -> Codec:
     with open(path, "rb") as f:
-        return Codec(Model(f.read()))
+        model = Model(f.read())
+    return Codec(model if merges else model.unigram())
 
 
-def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: str = "ids", check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: str = "ids", check: bool = True, merges: bool = False) -> DataFrame:
     """Adds ``ids_col`` (array of int) and, with ``check``, the decoded text's digest and whether it is the text.
 
+    Ids are those of the heaviest path, or with ``merges`` those of a BPE model's merges.
+
     A null or empty text has no ids and decodes to the empty text. A word mark
     in a text decodes to a space, as in the library; ``round_trip`` says so.
     Very long texts go whole. Columns that are there already and have an added
@@ -325,7 +457,7 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    codec = spark.sparkContext.broadcast(load(path))
+    codec = spark.sparkContext.broadcast(load(path, merges))
     added = [(ids_col, "array<int>")] + ([("decoded_sha256", "string"), ("round_trip", "boolean")] if check else [])
     names = [n for n, _ in added]
     kept = [c for c in docs.columns if c not in names]
