@@ -166,3 +166,24 @@ def test_repeats(spark):
         got[-1 if r.doc_id is None else r.doc_id] = (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
     assert got == brute_repeats(rows)
     assert suffix_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_long_texts_are_cut_into_sections(spark, monkeypatch):
+    """Sections of a long text lose no window; a text of any length can be cut."""
+    from tidegrid.llm import windows
+
+    rng = np.random.default_rng(11)
+    text = bytes(rng.integers(97, 101, 5000).astype(np.uint8))
+    for size in (150, 1000):
+        got = [(at + k, part[k : k + 100]) for _, at, part in windows.sections([text, b"short"], 100, size) if part != b"short" for k in range(len(part) - 99)]
+        assert got == [(k, text[k : k + 100]) for k in range(len(text) - 99)]
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    t = text.decode()
+    rows = [(1, t), (2, t[300:900] + "z" * 120 + t[2000:4000]), (3, t[::-1] + t[4500:])]
+    out, _ = zip(*[(w, None) for w in windows.sections([x.encode() for _, x in rows], 100, 700)], strict=True)
+    assert len(out) > 10
+    found = suffix_dedup.candidates(frame(spark, rows).coalesce(1), "doc_id", "text", 100, 7)
+    places = sorted((int(d), int(f)) for b in found.where("kind = 0").collect() for d, f in zip(suffix_dedup._read(b.v, True)[0], suffix_dedup._read(b.v, True)[2], strict=True))
+    assert places[0] == (1, 0)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows)

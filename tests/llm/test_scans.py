@@ -113,6 +113,9 @@ def test_media(spark, docs, tmp_path):
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
     assert rows[1].media_sha256 == rows[2].media_sha256
+    odd = ["null", "a/b", "../c", "x\0y", "é", "", None, "id:1", "%41"]
+    named = spark.createDataFrame([(k, "t") for k in odd], "doc_id string, text string")
+    assert Counter(r.doc_id for r in media.media_features(named, directory=f"file://{tmp_path}/n").collect()) == Counter(odd)
     assert media.media_features(docs.limit(0)).count() == 0
 
 
@@ -120,8 +123,13 @@ def test_media_ranges_and_retries(spark, tmp_path, monkeypatch):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), F.col("id").cast("int")).alias("text"))
     found = media.write_archives(docs, f"file://{tmp_path}/m")
     assert media.read_archives(spark, found, range_bytes=700).select("member").distinct().count() == 50
-    path, size = found[0]
-    reader = media.ArchiveReader({"archives": "[]"})
+    listed = spark.read.parquet(found).collect()
+    reader = media.ArchiveReader({"manifest": found, "bytes": str(sum(r.size for r in listed)), "rangebytes": "700"})
+    monkeypatch.setattr(media, "TASK_BYTES", 1000)
+    shares = reader.partitions()
+    spans = sorted(x for p in shares for x in reader.ranges(p))
+    assert len(shares) > 3 and spans == sorted((r.path, s, s + 700) for r in listed for s in range(0, r.size, 700))
+    path = min(r.path for r in listed)
     fs, local = media._open(path)
     with zipfile.ZipFile(local) as z:
         info = z.infolist()[-1]
@@ -135,7 +143,7 @@ def test_media_ranges_and_retries(spark, tmp_path, monkeypatch):
             return fs.open_input_file(p)
 
     _, payload, n = reader._member(Flaky(), local, info.header_offset, info.file_size)
-    assert len(calls) == 3 and payload.rstrip(b" ") == (b"text " * int(info.filename)).rstrip(b" ")
+    assert len(calls) == 3 and payload.rstrip(b" ") == (b"text " * int(info.filename[3:])).rstrip(b" ")
     data = bytearray(open(local, "rb").read())
     data[info.header_offset + 60] ^= 255
     open(local, "wb").write(bytes(data))

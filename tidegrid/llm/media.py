@@ -1,36 +1,40 @@
 """Media columns: payloads in archives of the shared store, read by byte range.
 
 ``write_archives`` packs each text as an 8-bit grey image (PNG, 192 samples a
-row, lossless) into uncompressed ZIP archives. The ``MediaArchives`` data source
-plans byte ranges over archives from their sizes alone; a task reads its
-archive's directory, takes the members that begin in its range, opens each at
-its offset and streams record batches. A member that fails is read again on
-its own, from its offset, on a new handle.
+row, lossless) into uncompressed ZIP archives and lists these in a manifest
+table beside them. The ``MediaArchives`` data source plans shares of the
+manifest's files; the driver sees neither archives nor ranges. A task takes the
+byte ranges of its share, reads each archive's directory, takes the members
+that begin in the range, opens each at its offset and streams record batches. A
+member that fails is read again on its own, from its offset, on a new handle.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, small_batches, text_blocks
+from .common import discard, materialize, shared_dir, small_batches, text_blocks
 
 #: Samples of an image row; payloads are padded to a multiple of it.
 ROW = 192
 #: Archives are closed beyond this size; a byte range has at most that many bytes.
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 8 << 20
+#: Archives of one manifest file, on average; bytes that a task reads.
+MANIFEST_ARCHIVES, TASK_BYTES = 1024, 8 << 20
 #: Reads of one member before its task fails (and Spark runs the task again).
 ATTEMPTS = 3
 #: Members of one record batch, and bytes.
@@ -83,14 +87,20 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """Packs every row's text into archives under ``directory``; returns their paths and sizes.
+def member_name(key: object) -> str:
+    """A ZIP member's name for an id: ``null``, or ``id:`` and the id with odd characters escaped."""
+    return "null" if key is None else "id:" + quote(str(key), safe="")
 
-    An archive's name is new for every attempt of a task, and only what
-    finished tasks report is returned, so archives of lost attempts are never
-    read. One line an archive of 64 MB comes back to the driver.
+
+def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Packs every row's text into archives under ``directory``; returns the manifest's folder.
+
+    The manifest has a row ``path, size`` for each archive. An archive's name is
+    new for every attempt of a task, and only what finished tasks report is
+    listed, so archives of lost attempts are never read.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(directory)
@@ -112,28 +122,40 @@ def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text
                     name = f"{uuid.uuid4().hex}.zip"
                     sink = fs.open_output_stream(f"{root}/{name}")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
-                archive.writestr(zipfile.ZipInfo("null" if key is None else str(key)), encode_image(padded(text), len(text)))
+                archive.writestr(zipfile.ZipInfo(member_name(key)), encode_image(padded(text), len(text)))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], names=["path", "size"])
 
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_t"))
-    return sorted((r.path, r.size) for r in rows.mapInArrow(work, "path string, size long").collect())
+    listed = materialize(rows.mapInArrow(work, "path string, size long"), "media-listed")
+    files = -(-max(listed.count(), 1) // MANIFEST_ARCHIVES)
+    manifest = f"{directory}/manifest"
+    listed.repartition(files, F.xxhash64("path")).sortWithinPartitions("path").write.mode("overwrite").parquet(manifest)
+    discard(listed)
+    return manifest
+
 
+class Share(InputPartition):
+    """Every ``shares``-th byte range of a manifest file's archives, from the ``number``-th."""
 
-class Range(InputPartition):
-    def __init__(self, uri: str, start: int, stop: int):
-        self.uri, self.start, self.stop = uri, start, stop
+    def __init__(self, manifest: str, number: int, shares: int):
+        self.manifest, self.number, self.shares = manifest, number, shares
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.archives = json.loads(options["archives"])
+        self.manifest, self.bytes = options["manifest"], int(options["bytes"])
         self.step = int(options.get("rangebytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
-    def partitions(self) -> list[Range]:
-        """Byte ranges from the archives' sizes; nothing is opened here."""
-        return [Range(uri, s, s + self.step) for uri, size in self.archives for s in range(0, size, self.step)]
+    def partitions(self) -> list[Share]:
+        """Shares of the manifest's files, by the archives' bytes in all; nothing is opened here."""
+        scheme = self.manifest.split("//", 1)[0] + "//" if "//" in self.manifest else ""
+        fs, root = _open(self.manifest)
+        files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
+        shares = max(1, -(-self.bytes // (max(len(files), 1) * TASK_BYTES)))
+        host = self.manifest[len(scheme) : len(self.manifest) - len(root)] if scheme and self.manifest.endswith(root) else ""
+        return [Share(f"{scheme}{host}{path}", n, shares) for path in files for n in range(shares)]
 
     def _member(self, fs: pafs.FileSystem, path: str, offset: int, length: int) -> tuple[bytes, bytes, int]:
         """One member by its offset; read again on a new handle if it fails."""
@@ -148,20 +170,33 @@ class ArchiveReader(DataSourceReader):
                     raise
         raise AssertionError
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no archives at all
+    def ranges(self, share: Share) -> Iterator[tuple[str, int, int]]:
+        """Archive, start and stop of each byte range of the share."""
+        fs, path = _open(share.manifest)
+        number = 0
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(columns=["path", "size"]):
+                for uri, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for start in range(0, size, self.step):
+                        if number % share.shares == share.number:
+                            yield uri, start, start + self.step
+                        number += 1
+
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no manifest file at all
             return
-        fs, path = _open(partition.uri)
-        with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            members = [(i.filename, i.header_offset, i.file_size) for i in z.infolist() if partition.start <= i.header_offset < partition.stop]
         rows: list[tuple] = []
         size = 0
-        for name, offset, length in members:
-            rows.append((partition.uri, name, offset, *self._member(fs, path, offset, length)))
-            size += 2 * len(rows[-1][4])
-            if len(rows) >= BATCH_MEMBERS or size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
+        for uri, start, stop in self.ranges(partition):
+            fs, path = _open(uri)
+            with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                members = [(i.filename, i.header_offset, i.file_size) for i in z.infolist() if start <= i.header_offset < stop]
+            for name, offset, length in members:
+                rows.append((uri, name, offset, *self._member(fs, path, offset, length)))
+                size += 2 * len(rows[-1][4])
+                if len(rows) >= BATCH_MEMBERS or size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows)
 
@@ -173,7 +208,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaArchives(DataSource):
-    """Members of ZIP archives as rows: option ``archives`` is a JSON list of [path, size]."""
+    """Members of ZIP archives as rows: options ``manifest`` (folder of its files) and ``bytes`` (of all archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -186,9 +221,11 @@ class MediaArchives(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(spark: SparkSession, manifest: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """All members of a manifest's archives."""
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").options(archives=json.dumps(archives), rangebytes=str(range_bytes)).load()
+    total = spark.read.schema("path string, size long").parquet(manifest).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return spark.read.format("media_archives").options(manifest=manifest, bytes=str(total), rangebytes=str(range_bytes)).load()
 
 
 def feature(payload: bytes) -> str:
@@ -220,12 +257,12 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            ids = [None if m == "null" else unquote(m[3:]) for m in col["member"]]
             sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("member")), pa.array(col["n_bytes"], pa.int64()), pa.array([len(p) for p in col["payload"]], pa.int64()), sha(col["payload"]), pa.array([zlib.crc32(p[-16:]) for p in col["payload"]], pa.int64()), pa.array([len(m) for m in col["media"]], pa.int64()), sha(col["media"]), pa.array([feature(p) for p in col["payload"]], pa.string())],
+                [pa.array(ids, pa.string()), pa.array(col["n_bytes"], pa.int64()), pa.array([len(p) for p in col["payload"]], pa.int64()), sha(col["payload"]), pa.array([zlib.crc32(p[-16:]) for p in col["payload"]], pa.int64()), pa.array([len(m) for m in col["media"]], pa.int64()), sha(col["media"]), pa.array([feature(p) for p in col["payload"]], pa.string())],
                 names=["member", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
     out = members.select("member", "media", "payload", "n_bytes").mapInArrow(work, "member string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    own = F.when(F.col("member") != "null", F.col("member")).cast(kind).alias(id_col)
-    return out.select(own, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.withColumn("member", F.col("member").cast(kind)).withColumnRenamed("member", id_col)

@@ -62,12 +62,16 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
 
 def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
     """SimHash of each text over its word shingles, repeats included; no words: 0."""
-    h, count = shingle_hashes(texts, shingle)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return fingerprints_from(*shingle_hashes(texts, shingle))
+
+
+def fingerprints_from(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """SimHash of each text from its shingles' hashes and their number."""
+    out = np.zeros(len(count), dtype=np.uint64)
     some = np.flatnonzero(count)
     step = 1 << 16
-    ones = np.zeros((len(texts), 64), dtype=np.int64)
-    doc = np.repeat(np.arange(len(texts)), count)
+    ones = np.zeros((len(count), 64), dtype=np.int64)
+    doc = np.repeat(np.arange(len(count)), count)
     for s in range(0, len(h), step):
         bits = np.unpackbits(h[s : s + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         d = doc[s : s + step]

@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, text_blocks
 from .suffix_sort import Shard
-from .windows import pieces
+from .windows import pieces, sections
 
 SPAN = 100
 #: Bytes of text whose pieces a task lists at once.
 UNIT = 8 << 20
 #: Bytes of text that are cut into pieces at once; each takes about 60 bytes of memory.
 BLOCK = 1 << 19
+#: Text bytes of a bucket of pieces, on average; a bucket is settled in one go.
+BUCKET = 2 << 20
 #: Text bytes of a shard in the final sort; a k-gram's contenders stay together.
 SHARD = 2 << 20
 #: The id that stands for null: below all others.
@@ -144,13 +146,18 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, span: int, buckets:
 
         for part, texts in text_blocks(batches, "_t", BLOCK):
             ids = part.column(0).to_numpy()
-            text, first, last, gram, content, _, _ = pieces(texts, span)
             keys = np.array([_text_key(t) for t in texts], dtype=np.int64)
-            held.append([ids[text], keys[text], first, last, gram, content])
-            size += sum(map(len, texts))
-            if size > UNIT:
-                yield flush()
-                held, size = [], 0
+            which, offset, parts = (list(x) for x in zip(*sections(texts, span, BLOCK), strict=True))
+            which, offset = np.array(which), np.array(offset)
+            step = max(1, len(parts)) if sum(map(len, parts)) <= 4 * BLOCK else 1  # a long text goes section by section
+            for p in range(0, len(parts), step):
+                section, first, last, gram, content, _, _ = pieces(parts[p : p + step], span)
+                text = which[p + section]
+                held.append([ids[text], keys[text], first + offset[p + section], last + offset[p + section], gram, content])
+                size += sum(map(len, parts[p : p + step]))
+                if size > UNIT:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -302,7 +309,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = 16 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col)).cast("long")), F.lit(0))).first()[0]
+    buckets = max(128, total // BUCKET)
     packed = _packed(docs, id_col, text_col)
     settled = materialize(settle(candidates(docs, id_col, text_col, span, buckets), span), "suffix-settled")
     contents = fetch(settled.where("kind = 2"), packed, span)

@@ -29,10 +29,10 @@ def pieces(texts: list[bytes], span: int, gram: int = GRAM):
     total = int(lens.sum())
     buf = np.frombuffer(b"".join(texts) + b"\0" * (span + 32), dtype=np.uint8)
     none = np.zeros(0, np.int64)
-    if total < span or total >= 1 << _POS_BITS:
-        if total < span:
-            return none, none, none, none.view(np.uint64), none.view(np.uint64), buf, np.zeros(0, np.int64)
-        raise ValueError("a text of 256 MB or more")
+    if total < span:
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), buf, np.zeros(0, np.int64)
+    if total >= 1 << _POS_BITS:
+        raise ValueError("cut long texts with ``sections``")
     w8 = np.ndarray((total + span,), dtype="<u8", buffer=buf, strides=(1,))
     with np.errstate(over="ignore"):
         n = total + span - gram
@@ -69,3 +69,18 @@ def pieces(texts: list[bytes], span: int, gram: int = GRAM):
     text = np.searchsorted(ends, s, side="right")
     origin = (ends - lens)[text]
     return text, s - origin, e - origin, h[chosen[s]], xxh64(buf, s, e + span, 8), buf, s
+
+
+def sections(texts: list[bytes], span: int, size: int):
+    """``(text number, offset, bytes)`` of stretches of about ``size`` bytes that hold every window of every text once.
+
+    Neighbouring stretches of a long text share ``span - 1`` bytes. A piece may
+    be cut in two there; its windows keep their k-gram, so equal windows still
+    meet.
+    """
+    for i, t in enumerate(texts):
+        if len(t) <= 2 * size:
+            yield i, 0, t
+            continue
+        for at in range(0, len(t) - span + 1, size):
+            yield i, at, t[at : at + size + span - 1]
