@@ -23,8 +23,12 @@ denominator makes room for them. The first level has more probes than the others
 below the prior's weight. The plain add-one baseline beside them uses exact
 counts.
 
-Counts reach the builders as packed, sorted, difference-coded hashes of a
-bucket, so a bucket is the unit of work and the largest thing in memory.
+A small corpus has its filter broadcast. That of a larger one grows with it and
+is never in one place: n-grams are dealt to buckets by hash, and the task that
+counts a bucket's n-grams also builds the bucket's part of the filter and probes
+it for the blocks of text that sent them. What travels is packed, sorted,
+difference-coded hashes out and one byte an n-gram back; a bucket is the unit of
+work and the largest thing in memory.
 """
 
 from __future__ import annotations
@@ -50,9 +54,10 @@ THRESHOLDS = np.array([1, 2, 3, *[m << k for k in range(59) for m in (4, 5, 6, 7
 LOW, HIGH = np.concatenate([[0], THRESHOLDS[:-1]]).astype(np.float64), np.concatenate([[0], THRESHOLDS[1:] - 1]).astype(np.float64)
 #: Share of bits set, at every size of corpus, and least size.
 FILL, MIN_BITS = 0.4, 1 << 20
-#: A filter of up to 2^29 bits (64 MB) is broadcast. A larger one stays in the shared folder, and n-grams are sent
-#: to its parts of at most 2^27 bits (16 MB) each; the scores are the same.
-SENT_BITS, PART_BITS = 1 << 29, 1 << 27
+#: Training tokens up to which the filter is broadcast: two n-grams a token with 16 marks at most make 33 MB.
+SENT_TOKENS = 1 << 22
+#: Bytes of text of a block that sends its n-grams to the buckets, and tokens of a bucket on average.
+TEXT_BLOCK, BUCKET_TOKENS = 4 << 20, 1 << 20
 #: Tokens that a counting task gathers before it passes their counts on.
 FLUSH = 2_000_000
 #: Most frequent words whose exact counts are broadcast (16 MB); rarer words are joined.
@@ -96,6 +101,21 @@ def grams(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return _mix(token) >> np.uint64(64 - HASH_BITS), pair >> np.uint64(64 - HASH_BITS)
 
 
+def room(words: int) -> float:
+    """Weight of the prior and of the n-grams that err: their expected number after a history, and three deviations."""
+    erring = FILL**PROBES * words
+    return MU + erring + 3 * erring**0.5
+
+
+def bits_for(marks: int, fill: float) -> int:
+    """Bits, in whole bytes, of which ``marks`` probes set the share ``fill``."""
+    return int(marks / -np.log1p(-fill)) // 8 * 8 + 8
+
+
+def marks_of(counts: np.ndarray) -> int:
+    return PROBES * len(counts) + MORE_PROBES * int((level_of(counts) - 1).sum())
+
+
 def level_of(counts: np.ndarray) -> np.ndarray:
     """Levels of counts; 0 for none."""
     return np.searchsorted(THRESHOLDS, counts, side="right")
@@ -153,10 +173,9 @@ def probes(level: int) -> int:
 class Filter:
     """The log-frequency Bloom filter: segments of ``segment_bits`` bits, whole bytes."""
 
-    def __init__(self, data: np.ndarray, segment_bits: int, first: int = 0):
-        self.data = data  # bytes, of the segments from the first on
-        self.segment_bits = segment_bits
-        self.first = first
+    def __init__(self, data: np.ndarray, segment_bits: int):
+        self.data, self.segment_bits = data, segment_bits
+        self.segments = 8 * len(data) // segment_bits  # all of them, or one by itself
 
     @staticmethod
     def hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +201,7 @@ class Filter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Levels by repeated probes: 0 if not held; never below the true one."""
-        base = ((keys >> np.uint64(HASH_BITS - SEGMENT_BITS)) - np.uint64(self.first)) * np.uint64(self.segment_bits)
+        base = (keys >> np.uint64(HASH_BITS - SEGMENT_BITS)) * np.uint64(self.segment_bits) if self.segments > 1 else np.zeros(len(keys), np.uint64)
         out = np.zeros(len(keys), dtype=np.int64)
         live = np.arange(len(keys))
         for j in range(1, len(THRESHOLDS)):
@@ -197,15 +216,9 @@ class Filter:
         return out
 
 
-def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int, float]:
-    """Counts all n-grams of the training rows and fills the filter: segments ``(s, ones, v)``, their bits, the filter's error rate.
-
-    A segment's buckets are or-ed where it is filled, so as many bytes leave it
-    as it has, whatever the corpus; a segment cut by a split of the files comes
-    twice, to be or-ed.
-    """
-    # Finer buckets for larger corpora: about 2^20 tokens a bucket, so a bucket fits in a worker.
-    bucket_bits = max(SEGMENT_BITS, int(max(total, 1)).bit_length() - 20)
+def build_filter(train: DataFrame) -> tuple[DataFrame, int]:
+    """Counts all n-grams of the training rows and fills the filter: segments ``(s, v)`` and their bits."""
+    bucket_bits = SEGMENT_BITS
     shift = np.uint64(HASH_BITS - bucket_bits)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +247,7 @@ def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int, float]:
         def close(bucket: int, blobs: list[bytes]):
             parts = [_unpack(x) for x in blobs]
             k, c = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([PROBES * len(c) + MORE_PROBES * int((level_of(c) - 1).sum())]), pa.array([_pack(k, c)], pa.binary())], names=["b", "m", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([marks_of(c)]), pa.array([_pack(k, c)], pa.binary())], names=["b", "m", "v"])
 
         now, blobs = None, []
         for b in batches:
@@ -247,111 +260,105 @@ def build_filter(train: DataFrame, total: int) -> tuple[DataFrame, int, float]:
         if blobs:
             yield close(now, blobs)
 
-    # Buckets of one segment go to one task, one after another.
-    packed = train.mapInArrow(count, "b long, v binary").repartition(F.shiftright("b", bucket_bits - SEGMENT_BITS)).sortWithinPartitions("b")
+    packed = train.mapInArrow(count, "b long, v binary").repartition(F.col("b")).sortWithinPartitions("b")
     merged = materialize(packed.mapInArrow(merge, "b long, m long, v binary"), "lm-counts")
     marks = merged.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    segment_bits = max(int(marks / -np.log1p(-FILL)), MIN_BITS) // (8 << SEGMENT_BITS) * 8 + 8
+    segment_bits = bits_for(max(marks >> SEGMENT_BITS, 1), min(FILL, max(marks, 1) / MIN_BITS))
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
-
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([int(np.bitwise_count(held).sum())]), pa.array([held.tobytes()], pa.binary())], names=["s", "ones", "v"])
-
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 k, c = _unpack(blob)
                 data = Filter.segment(k | (np.uint64(bucket) << shift), c, segment_bits)
-                segment = bucket >> (bucket_bits - SEGMENT_BITS)
-                if segment == now:
-                    held |= data
-                    continue
-                if now is not None:
-                    yield row()
-                now, held = segment, data
-        if now is not None:
-            yield row()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([data.tobytes()], pa.binary())], names=["s", "v"])
 
-    segments = materialize(merged.select("b", "v").mapInArrow(fill, "s long, ones long, v binary"), "lm-segments")
-    ones = segments.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0]
-    return segments, segment_bits, min(ones / (segment_bits << SEGMENT_BITS), 1.0) ** PROBES
+    return merged.select("b", "v").mapInArrow(fill, "s long, v binary"), segment_bits
 
 
 def gathered(segments: DataFrame, segment_bits: int) -> Filter:
-    """The whole filter on the driver."""
+    """The whole filter on the driver; for small corpora (``SENT_TOKENS``)."""
     width = segment_bits >> 3
     data = np.zeros(width << SEGMENT_BITS, dtype=np.uint8)
-    for r in segments.select("s", "v").toLocalIterator():  # SENT_BITS in all, but for segments cut by a split
-        data[r.s * width : (r.s + 1) * width] |= np.frombuffer(r.v, dtype=np.uint8)
+    for r in segments.toLocalIterator():
+        data[r.s * width : (r.s + 1) * width] = np.frombuffer(r.v, dtype=np.uint8)
     return Filter(data, segment_bits)
 
 
-def probed(asked: DataFrame, segments: DataFrame, segment_bits: int) -> DataFrame:
-    """``(block, part, counts)`` for the keys ``(block, part, keys)``: every key meets the part of the filter that holds its segment."""
-    part_bits = _part_bits(segment_bits)
-    low = SEGMENT_BITS - part_bits
-    width = segment_bits >> 3
-    part = F.shiftright("s", low)
-    both = segments.select(part.alias("part"), F.lit(0).alias("kind"), F.col("s").alias("block"), "v").unionByName(asked.select("part", F.lit(1).alias("kind"), "block", F.col("keys").alias("v")))
-    both = both.repartition(1 << part_bits, F.col("part")).sortWithinPartitions("part", "kind")
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data, lm = None, None, None
-        for batch in batches:
-            for p, kind, block, v in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if p != now:
-                    now, data = p, np.zeros(width << low, dtype=np.uint8)
-                    lm = Filter(data, width * 8, p << low)
-                if kind == 0:
-                    at = (block - (p << low)) * width
-                    data[at : at + width] |= np.frombuffer(v, dtype=np.uint8)
-                else:
-                    got = lm.levels(np.frombuffer(v, dtype=np.uint64)).astype(np.uint8).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([p]), pa.array([got], pa.binary())], names=["block", "part", "counts"])
-
-    return both.mapInArrow(work, "block long, part long, counts binary")
-
-
-def _part_bits(segment_bits: int) -> int:
-    parts = -(-(segment_bits << SEGMENT_BITS) // PART_BITS)
-    return min((parts - 1).bit_length(), SEGMENT_BITS)
-
-
 #: Key of the end mark.
 END_KEY = grams(np.array([END]), np.array([0, 1]))[0]
 
 
-def _by_parts(rows: DataFrame, segments: DataFrame, segment_bits: int, rated: Callable, result: str) -> DataFrame:
+def _by_buckets(rows: DataFrame, tokens_in_all: int, rated: Callable, result: str) -> DataFrame:
     """What ``rated`` yields with a filter that no worker holds as a whole.
 
-    Texts are kept in blocks; the distinct keys of a block go to the filter's
-    parts and their counts come back to the block.
+    Texts are kept in blocks. A block sends its distinct n-grams, with how
+    often its training texts have them, to their buckets; a bucket counts,
+    builds its part of the filter, probes it for every block and sends levels
+    back.
     """
-    part_bits = _part_bits(segment_bits)
+    bucket_bits = max(8, (tokens_in_all // BUCKET_TOKENS).bit_length())
+    shift, fill_share, block_bytes = np.uint64(HASH_BITS - bucket_bits), FILL, TEXT_BLOCK
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _ in text_blocks(batches, "_t"):
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def close():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema) as out:
-                out.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+        for part, texts in text_blocks(batches, "_t", block_bytes):
+            more = sum(map(len, texts))
+            if held and size + more > block_bytes:
+                yield close()
+                held, size = [], 0
+            held.append(part)
+            size += more
+        if held:
+            yield close()
 
     def opened(blob: bytes) -> tuple[pa.RecordBatch, list[bytes]]:
-        part = pa.ipc.open_stream(blob).read_next_batch()
+        part = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
         return part, [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
 
-    def keys_of(texts: list[bytes]) -> np.ndarray:
-        return np.unique(np.concatenate([*grams(*tokens(texts)), END_KEY]))
-
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = keys_of(opened(blob)[1])
-                part = (keys >> np.uint64(HASH_BITS - part_bits)).astype(np.int64)
-                cut = np.flatnonzero(np.diff(part, prepend=-1))
-                found = [k.tobytes() for k in np.split(keys, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), block)), pa.array(part[cut]), pa.array(found, pa.binary())], names=["block", "part", "keys"])
+                part, texts = opened(blob)
+                token, begin = tokens(texts)
+                one, two = grams(token, begin)
+                trains = np.repeat(~part.column(2).to_numpy(zero_copy_only=False), np.diff(begin)).astype(np.int64)
+                keys, n = _sums(np.concatenate([one, two, END_KEY]), np.concatenate([trains, trains, [0]]))
+                bucket = (keys >> shift).astype(np.int64)
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+                low = keys & ((np.uint64(1) << shift) - np.uint64(1))
+                found = [_pack(low[s:e], n[s:e]) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), block)), pa.array(found, pa.binary())], names=["bucket", "block", "v"])
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(bucket: int, asked: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            parts = [_unpack(v) for _, v in asked]
+            every, n = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+            held = n > 0
+            bits = bits_for(max(marks_of(n[held]), 1), fill_share)
+            lm = Filter(Filter.segment(every[held], n[held], bits), bits)
+            level = lm.levels(every).astype(np.uint8)  # every distinct n-gram is probed once
+            back = [level[np.searchsorted(every, k)].tobytes() for k, _ in parts]
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in asked]), pa.array(np.full(len(asked), bucket)), pa.array(back, pa.binary())], names=["block", "part", "v"])
+
+        now, asked = None, []
+        for batch in batches:
+            for bucket, block, v in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if bucket != now and asked:
+                    yield close(now, asked)
+                    asked = []
+                now = bucket
+                asked.append((block, v))
+        if asked:
+            yield close(now, asked)
 
     def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
@@ -359,7 +366,8 @@ def _by_parts(rows: DataFrame, segments: DataFrame, segment_bits: int, rated: Ca
 
             def close():
                 part, texts = opened(blob)
-                keys, found = keys_of(texts), np.concatenate(got)  # parts in order, as keys are
+                keys = np.unique(np.concatenate([*grams(*tokens(texts)), END_KEY]))
+                found = np.concatenate(got).astype(np.int64)  # buckets in order, as keys are
                 return part, texts, lambda k: found[np.searchsorted(keys, k)]
 
             for batch in batches:
@@ -369,15 +377,16 @@ def _by_parts(rows: DataFrame, segments: DataFrame, segment_bits: int, rated: Ca
                     if part < 0:
                         now, blob, got = block, v, []
                     else:
-                        got.append(np.frombuffer(v, dtype=np.uint8).astype(np.int64))
+                        got.append(np.frombuffer(v, dtype=np.uint8))
             if now is not None:
                 yield close()
 
         yield from rated(blocks())
 
     blocks = materialize(rows.mapInArrow(pack, "rows binary").select(F.monotonically_increasing_id().alias("block"), "rows"), "lm-blocks")
-    counts = probed(blocks.mapInArrow(ask, "block long, part long, keys binary"), segments, segment_bits)
-    both = blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col("rows").alias("v")).unionByName(counts.select("block", "part", F.col("counts").alias("v")))
+    asked = blocks.mapInArrow(ask, "bucket long, block long, v binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    levels = asked.mapInArrow(answer, "block long, part long, v binary")
+    both = blocks.select("block", F.lit(-1).cast("long").alias("part"), F.col("rows").alias("v")).unionByName(levels)
     return both.repartition(F.col("block")).sortWithinPartitions("block", "part").mapInArrow(rate, result)
 
 
@@ -411,11 +420,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     top = vocabulary.where(level >= head_from).toArrow()
     head_h, head_n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(head_h)
-    segments, segment_bits, error = build_filter(train, n)
-    whole = segment_bits << SEGMENT_BITS <= SENT_BITS
-    erring = error * v
-    room = MU + erring + 3 * erring**0.5  # three deviations above the expected number
-    send = spark.sparkContext.broadcast((gathered(segments, segment_bits) if whole else None, head_h[order], head_n[order]))
+    whole = n <= SENT_TOKENS
+    weight = room(v)
+    send = spark.sparkContext.broadcast((gathered(*build_filter(train)) if whole else None, head_h[order], head_n[order]))
     denominator = float(n + v + 1)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +454,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             prior[1:] = held[back][:-1]
             prior[start] = levels(END_KEY)[0]
             pair = np.minimum(levels(two), np.minimum(prior, held[back]))
-            p = (LOW[pair] + MU * uni) / (HIGH[prior] + room)
+            p = (LOW[pair] + MU * uni) / (HIGH[prior] + weight)
             total = np.add.reduceat(np.log10(p), start)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(np.diff(begin)), pa.array(known), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pa.array(token[rare].view(np.int64)))],
@@ -455,7 +462,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             )
 
     result = f"_id {kind}, _out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
-    scored = rows.mapInArrow(work, result) if whole else _by_parts(rows, segments, segment_bits, rated, result)
+    scored = rows.mapInArrow(work, result) if whole else _by_buckets(rows, n, rated, result)
     if head_from:
         scored = materialize(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
         tail = vocabulary.where(level < head_from)
