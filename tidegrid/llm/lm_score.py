@@ -305,7 +305,7 @@ def _by_buckets(rows: DataFrame, tokens_in_all: int, rated: Callable, result: st
 
         def close():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for part in held:
                     out.write_batch(part)
             return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
