@@ -1,27 +0,0 @@
-"""The order books of all orders, against the oracle SQL without its modulo and order by order."""
-
-import os
-
-import pytest
-
-from tests.test_queries import DATA, TABLES, _same
-from tidegrid.plans import catalogue
-
-pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-
-
-def test_every_order_has_a_book(spark):
-    import duckdb
-
-    c = duckdb.connect()
-    for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
-    sql = catalogue.oracle_sql()["book_sweep"]
-    want = c.sql(sql.replace("WHERE l_orderkey % 10 = 1", ""))
-    at = want.columns.index("l_orderkey")
-    exp = {r[at]: r for r in want.fetchall()}
-    rows = catalogue.queries()["book_sweep"](spark, DATA).collect()
-    orders = c.sql("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchall()[0][0]
-    assert len(rows) == len(exp) == orders
-    for r in rows:
-        assert all(_same(r[n], v) for n, v in zip(want.columns, exp[r.l_orderkey], strict=True)), r

@@ -61,15 +61,23 @@ def status(checks: dict[str, Column], final: str = "pass", failed: str = "reject
 def crash_windows(path: DataFrame, x: str, rows: int, least: int, gap_days: int, top: int, days: int = 3) -> DataFrame:
     """The deepest falls of a rolling sum at least ``gap_days`` apart, with the days around them.
 
-    The choice is sequential; it runs over the ``top`` * 64 deepest rows, which
-    the driver holds, and reports if that was not enough.
+    ``path`` is one series (a row a time). The choice is sequential and exact:
+    each of ``top`` rounds takes the deepest row (the earliest of equals) that
+    is far enough from those taken, as one aggregate over the series. With fewer
+    such rows fewer windows come out.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(-(rows - 1), 0)
-    d = path.withColumn("depth", F.when(F.count(x).over(w) >= least, F.sum(x).over(w))).where("depth IS NOT NULL")
+    d = path.withColumn("depth", F.when(F.count(x).over(w) >= least, F.sum(x).over(w))).where("depth IS NOT NULL").select("ts", "depth")
+    gap = F.make_dt_interval(F.lit(gap_days))
     taken: list = []
-    for r in d.orderBy("depth", "ts").select("ts", "depth").limit(top * 64).collect():
-        if len(taken) < top and all(abs((r.ts - t.ts).total_seconds()) >= gap_days * 86400 for t in taken):
-            taken.append(r)
+    while len(taken) < top:
+        far = d
+        for r in taken:
+            far = far.where((F.col("ts") >= F.lit(r.ts) + gap) | (F.col("ts") <= F.lit(r.ts) - gap))
+        found = far.agg(F.min(F.struct("depth", "ts")).alias("m")).select("m.*").first()
+        if found.ts is None:
+            break
+        taken.append(found)
     spark = path.sparkSession
     found = spark.createDataFrame([(i, r.ts, r.depth) for i, r in enumerate(taken)], "crash int, at timestamp_ntz, depth double")
     step = F.make_dt_interval(F.lit(days))

@@ -14,20 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    """Exponential mean; over gaps the old weight decays on."""
-    out, value, weight = np.full(len(x), np.nan), np.nan, 0.0
-    for i, v in enumerate(x):
-        weight *= 1 - alpha
-        if v == v:
-            value = v if value != value else (weight * value + alpha * v) / (weight + alpha)
-            weight = 1.0
-        out[i] = value
-    return out
+def ewm(x: np.ndarray, alpha: float, least: int = 0) -> np.ndarray:
+    """Exponential mean; over gaps the old weight decays on. Missing before ``least`` values."""
+    return pd.Series(x, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
 
 
-def ema(x: np.ndarray, span: int) -> np.ndarray:
-    return ewm(x, 2 / (span + 1))
+def ema(x: np.ndarray, span: int, least: int = 0) -> np.ndarray:
+    return ewm(x, 2 / (span + 1), least)
 
 
 def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
@@ -35,16 +28,19 @@ def true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarr
     return np.fmax(np.fmax(high - low, np.abs(high - before)), np.abs(low - before))
 
 
-def rsi(close: np.ndarray, span: int, alpha: float | None = None) -> np.ndarray:
+def rsi(close: np.ndarray, span: int, alpha: float | None = None, least: int = 0) -> np.ndarray:
     step = np.concatenate([[np.nan], np.diff(close)])
     a = 2 / (span + 1) if alpha is None else alpha
     with np.errstate(invalid="ignore", divide="ignore"):
-        gain, loss = ewm(np.where(step > 0, step, np.where(step == step, 0.0, np.nan)), a), ewm(np.where(step < 0, -step, np.where(step == step, 0.0, np.nan)), a)
+        gain, loss = ewm(np.where(step > 0, step, np.where(step == step, 0.0, np.nan)), a, least), ewm(np.where(step < 0, -step, np.where(step == step, 0.0, np.nan)), a, least)
         return np.where(loss == 0, np.nan, 100 - 100 / (1 + gain / loss))
 
 
 def regime(high: np.ndarray, low: np.ndarray, close: np.ndarray, span: int = 14, limit: float = 25.0) -> dict[str, np.ndarray]:
-    """Average true range, directional index and whether it shows a trend."""
+    """Average true range and its ratio to its own mean, directional index, and whether both show a trend.
+
+    A missing directional index counts as 0; the mean is over 50 rows, 20 at least.
+    """
     up, down = np.concatenate([[np.nan], np.diff(high)]), -np.concatenate([[np.nan], np.diff(low)])
     plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
     tr = ema(true_range(high, low, close), span)
@@ -52,7 +48,10 @@ def regime(high: np.ndarray, low: np.ndarray, close: np.ndarray, span: int = 14,
         p, m = 100 * ema(plus, span) / tr, 100 * ema(minus, span) / tr
         dx = np.where(p + m == 0, np.nan, 100 * np.abs(p - m) / (p + m))
     adx = ema(dx, span)
-    return {"atr": tr, "plus_di": p, "minus_di": m, "adx": adx, "trend": (adx > limit).astype(float)}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        ratio = tr / pd.Series(tr).rolling(50, min_periods=20).mean().to_numpy()
+        trend = (np.nan_to_num(adx) > limit) & (ratio > 1)
+    return {"atr": tr, "atr_ratio": ratio, "plus_di": p, "minus_di": m, "adx": adx, "trend": trend.astype(float)}
 
 
 def squeeze(high, low, close, bn: int, bk: float, kn: int, kk: float) -> np.ndarray:
@@ -108,16 +107,20 @@ def apply(df: DataFrame, name: str, args: list, made: str) -> DataFrame:
 def hysteresis(df: DataFrame, rank: str, enter: int, hold: int) -> DataFrame:
     """Membership by time: kept while ranked within ``hold``, entered within ``enter``.
 
-    The state is a set of assets, so the rows of one grouping (here: column
-    ``book``) are folded in time order.
+    The state is a set of assets, so the times of one grouping (column
+    ``book``) are folded in order. Only rows ranked within ``hold`` can be
+    members, so only those, ``hold`` a time at most but for ties, are folded;
+    all others join the result.
     """
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, members = [], set()
         for t, part in pdf.sort_values(["ts", "asset"], kind="stable").groupby("ts", sort=True):
             r = dict(zip(part["asset"], part[rank], strict=True))
             members = {a for a in members if r.get(a, np.inf) <= hold} | {a for a, v in r.items() if v <= enter}
-            rows += [(part["book"].iloc[0], t, a, a in members) for a in part["asset"]]
-        return pd.DataFrame(rows, columns=["book", "ts", "asset", "member"])
+            rows += [(part["book"].iloc[0], t, a) for a in part["asset"] if a in members]
+        return pd.DataFrame(rows, columns=["book", "ts", "asset"])
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select("book", "ts", "asset", rank).groupBy("book").applyInPandas(group, f"book {kind['book']}, ts {kind['ts']}, asset {kind['asset']}, member boolean")
+    near = df.where(F.col(rank) <= max(enter, hold)).select("book", "ts", "asset", rank)
+    members = near.groupBy("book").applyInPandas(group, f"book {kind['book']}, ts {kind['ts']}, asset {kind['asset']}").withColumn("member", F.lit(True))
+    return df.select("book", "ts", "asset").join(members, ["book", "ts", "asset"], "left").withColumn("member", F.coalesce("member", F.lit(False)))

@@ -9,63 +9,91 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import asset_time, change, div, lag, rolling
+from ..functions.numeric import asset_time, change, clip, div, lag, rolling
 from . import recursive
+from .grid import fill_forward
 from .portfolio import sharpe
+from .timeseries import rank_in_window
 
 
 def indicators(df: DataFrame) -> DataFrame:
-    """Exponential means, Wilder RSI, simple-mean ATR, rolling VWAP and breakout levels of each asset.
+    """What the rules look at, by asset: exponential means (missing before a span's rows), Wilder RSI, simple-mean ATR over
+    the close and its median, rolling VWAP, bands, break-out levels, percentile ranks and returns.
 
     The recursive ones take one pandas pass an asset, the rest windows.
     """
+    spans = (20, 50, 100, 200)
+
     def work(d: pd.DataFrame) -> dict[str, np.ndarray]:
         c = d["close"].to_numpy(dtype=float)
-        return {**{f"ema_{n}": recursive.ema(c, n) for n in (8, 21, 55)}, "rsi_14": recursive.rsi(c, 14, 1 / 14)}
+        return {**{f"ema{n}": recursive.ema(c, n, n) for n in spans}, "rsi14": recursive.rsi(c, 14, 1 / 14, 14)}
 
-    d = recursive.by_asset(df, ["ema_8", "ema_21", "ema_55", "rsi_14"], work, ["close"])
+    d = recursive.by_asset(df, [*[f"ema{n}" for n in spans], "rsi14"], work, ["close"])
     before = lag("close")
     d = d.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    d = d.withColumn("_pv", (F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume"))
-    d = d.withColumn("atr_14", rolling(F.avg, "_tr", 14)).withColumn("vwap_20", div(rolling(F.sum, "_pv", 20), rolling(F.sum, "volume", 20)))
-    d = d.withColumn("_hi", rolling(F.max, "high", 20)).withColumn("_lo", rolling(F.min, "low", 20)).withColumn("high_20", lag("_hi")).withColumn("low_20", lag("_lo"))
-    d = d.withColumn("mean_20", rolling(F.avg, "close", 20)).withColumn("std_20", rolling(F.stddev_samp, "close", 20)).withColumn("median_50", rolling(lambda x: F.percentile(x, F.lit(0.5)), "close", 50))
-    return d.drop("_tr", "_pv", "_hi", "_lo")
-
-
-def _side(up: Column, down: Column) -> Column:
-    return F.when(up, 1.0).when(down, -1.0).otherwise(0.0)
-
-
-def rules(funding: str | None = None) -> dict[str, Column]:
-    """Desired positions of -1, 0 or 1 by rule name, over the columns of ``indicators``."""
-    c = F.col("close")
-    out: dict[str, Column] = {}
-    for a, b in ((8, 21), (8, 55), (21, 55)):
-        out[f"cross_{a}_{b}"] = _side(F.col(f"ema_{a}") > F.col(f"ema_{b}"), F.col(f"ema_{a}") < F.col(f"ema_{b}"))
-        out[f"cross_long_{a}_{b}"] = _side(F.col(f"ema_{a}") > F.col(f"ema_{b}"), F.lit(False))
-    for n in (3, 12, 24, 72):
-        out[f"momentum_{n}"] = _side(change("close", n) > 0, change("close", n) < 0)
-        out[f"reversal_{n}"] = _side(change("close", n) < 0, change("close", n) > 0)
-    for low, high in ((30, 70), (20, 80), (40, 60)):
-        out[f"rsi_{low}_{high}"] = _side(F.col("rsi_14") < low, F.col("rsi_14") > high)
-    for k in (1.0, 2.0):
-        edge = k * F.col("std_20")
-        out[f"band_reversal_{k:g}"] = _side(c < F.col("mean_20") - edge, c > F.col("mean_20") + edge)
-        out[f"band_trend_{k:g}"] = _side(c > F.col("mean_20") + edge, c < F.col("mean_20") - edge)
-    out["breakout"] = _side(c > F.col("high_20"), c < F.col("low_20"))
-    out["breakout_fade"] = _side(c < F.col("low_20"), c > F.col("high_20"))
-    out["vwap_trend"] = _side(c > F.col("vwap_20"), c < F.col("vwap_20"))
-    out["vwap_reversal"] = _side(c < F.col("vwap_20"), c > F.col("vwap_20"))
-    out["median_trend"] = _side(c > F.col("median_50"), c < F.col("median_50"))
-    out["quiet_trend"] = _side((F.col("atr_14") < F.col("std_20")) & (F.col("ema_8") > F.col("ema_21")), (F.col("atr_14") < F.col("std_20")) & (F.col("ema_8") < F.col("ema_21")))
-    if funding:
-        f = F.col(funding)
-        out["funding_fade"] = _side(f < 0, f > 0)
-        out["funding_follow"] = _side(f > 0, f < 0)
-        out["funding_extreme"] = _side(f < -0.0005, f > 0.0005)
-        out["funding_momentum"] = _side((f < 0) & (change("close", 24) > 0), (f > 0) & (change("close", 24) < 0))
-    return out
+    d = d.withColumn("atr_pct", div(rolling(F.avg, "_tr", 14), "close")).withColumn("_pv", F.col("close") * F.col("volume"))
+    d = d.withColumn("atr_median", rolling(lambda x: F.percentile(x, F.lit(0.5)), "atr_pct", 120, 60))
+    for k in (72, 168):
+        d = d.withColumn(f"vwap{k}", div(rolling(F.sum, "_pv", k), rolling(F.sum, "volume", k)))
+    mid, width = rolling(F.avg, "close", 20), 2 * rolling(F.stddev_samp, "close", 20)
+    d = d.withColumn("_top", rolling(F.max, "close", 72)).withColumn("_bottom", rolling(F.min, "close", 72))
+    d = d.withColumns({"band_high": mid + width, "band_low": mid - width, "high72": lag("_top"), "low72": lag("_bottom"), "ema20_rank": rank_in_window("ema20", 100, 60), "volume_rank": rank_in_window("volume", 120, 60)})
+    d = d.withColumns({"ret20": change("close", 20), "ret24": change("close", 24), "mean50": rolling(F.avg, "close", 50), "ema100_24": lag("ema100", 24), "ema200_24": lag("ema200", 24)})
+    return d.drop("_tr", "_pv", "_top", "_bottom")
+
+
+def funding_features(df: DataFrame, rate: str, k: int = 24 * 90, least: int = 24 * 30) -> DataFrame:
+    """Adds ``funding`` (the filled rate a row late) and ``funding_z``, its z-score within five deviations."""
+    d = df.withColumn("_f", fill_forward(rate)).withColumn("funding", lag("_f"))
+    s = rolling(F.stddev_samp, "funding", k, least)
+    return d.withColumn("funding_z", clip(div(F.col("funding") - rolling(F.avg, "funding", k, least), s), -5, 5)).drop("_f")
+
+
+# The rules' names and limits. Conditions of a long and a short position, over the columns of ``indicators``.
+RULES = {
+    "buy_hold_direct": ("true", "false"),
+    "random_noise_control": ("substr(noise, 1, 1) < '8'", "substr(noise, 1, 1) >= '8'"),
+    "naive_momentum_20_long_short": ("ret20 > 0", "ret20 < 0"),
+    "naive_momentum_20_long_flat": ("ret20 > 0", "false"),
+    "naive_mean_reversion_50_long_short": ("close < mean50", "close > mean50"),
+    "naive_mean_reversion_50_long_flat": ("close < mean50", "false"),
+    "ema50_200_long_short": ("ema50 > ema200", "ema50 < ema200"),
+    "ema50_200_long_flat": ("ema50 > ema200", "false"),
+    "close_ema200_long_short": ("close > ema200", "close < ema200"),
+    "close_ema200_long_flat": ("close > ema200", "false"),
+    "ema200_slope_long_short": ("ema200 > ema200_24", "ema200 < ema200_24"),
+    "ema100_slope_long_flat": ("ema100 > ema100_24", "false"),
+    "slow_ema_rank_band_long_short": ("ema20_rank > 0.60", "ema20_rank < 0.40"),
+    "slow_ema_rank_band_long_flat": ("ema20_rank > 0.60", "false"),
+    "vwap72_trend_long_short": ("close > vwap72", "close < vwap72"),
+    "vwap168_trend_long_flat": ("close > vwap168", "false"),
+    "vwap72_reversion_long_short": ("close < vwap72 * 0.995", "close > vwap72 * 1.005"),
+    "vol_compression_trend_long_flat": ("close > ema200 AND atr_pct < atr_median", "false"),
+    "atr_expansion_short_filter": ("close > ema200", "close < ema200 AND atr_pct > atr_median"),
+    "breakout72_long_short": ("close > high72", "close < low72"),
+    "breakout72_low_vol_long_flat": ("close > high72 AND atr_pct < atr_median", "false"),
+    "rsi_reversal_14_long_short": ("rsi14 < 30", "rsi14 > 70"),
+    "bollinger_reversion_long_short": ("close < band_low", "close > band_high"),
+    "volume_confirmed_momentum": ("ret24 > 0 AND volume_rank > 0.55", "ret24 < 0 AND volume_rank > 0.55"),
+    "volume_exhaustion_reversal": ("ret24 < 0 AND volume_rank > 0.80", "ret24 > 0 AND volume_rank > 0.80"),
+}
+#: Rules that need funding too.
+FUNDING_RULES = {
+    "funding_carry_long_short": ("funding < -0.00002", "funding > 0.00007"),
+    "funding_extreme_reversal_long_short": ("funding_z < -1.5", "funding_z > 1.5"),
+    "trend_carry_aligned_long_short": ("close > ema200 AND funding <= 0.00005", "close < ema200 AND funding >= 0.0"),
+    "trend_no_euphoria_long_flat": ("close > ema200 AND funding_z < 1.0", "false"),
+}
+
+
+def noise() -> Column:
+    """Hexadecimal digits of a row's own, for the control without information: the MD5 of asset and hour."""
+    return F.md5(F.concat_ws("|", F.col("asset").cast("string"), F.date_format("ts", "yyyyMMddHH")).cast("binary"))
+
+
+def rules(funding: bool = False) -> dict[str, Column]:
+    """Desired positions of -1, 0 or 1 by rule name; what is not known is no position."""
+    return {n: F.when(F.expr(up), 1.0).when(F.expr(down), -1.0).otherwise(0.0) for n, (up, down) in (RULES | (FUNDING_RULES if funding else {})).items()}
 
 
 def evaluate_rules(df: DataFrame, made: dict[str, Column], cost_bp: float = 7.0) -> DataFrame:

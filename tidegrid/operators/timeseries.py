@@ -17,13 +17,16 @@ def zscore(x: Column | str, k: int, least: int | None = None, pop: bool = True)
     return div(col(x) - rolling(F.avg, x, k, least), F.when(s > 1e-12, s))
 
 
-def rank_in_window(x: Column | str, k: int) -> Column:
-    """Rank of the current value among the last k (ties average), over k."""
+def rank_in_window(x: Column | str, k: int, least: int | None = None) -> Column:
+    """Rank of the current value among the values of the last k rows (ties average), over their number.
+
+    Costs n x k: the window's values are looked at for every row.
+    """
     x = col(x)
     values = F.collect_list(x).over(trailing(k))
     below = F.size(F.filter(values, lambda v: v < x))
     same = F.size(F.filter(values, lambda v: v == x))
-    return F.when(F.size(values) >= k, (below + (same + 1) / 2) / k)
+    return F.when(x.isNotNull() & (F.size(values) >= (k if least is None else least)), (below + (same + 1) / 2) / F.size(values))
 
 
 def rolling_corr(a: Column | str, b: Column | str, k: int) -> Column:

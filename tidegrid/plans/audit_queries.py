@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import change, div, lag
 from ..operators import audit, grid, ledger, recursive, upsert
 from ..operators import crosssection as xs
-from .panels import EVENT_HOURS, NATION_DAY, NATION_MONTH, event_grid, event_hours, nation_day, nation_month, rounded, rounding, table
+from .panels import ema_cte, EVENT_HOURS, NATION_DAY, NATION_MONTH, event_grid, event_hours, nation_day, nation_month, rounded, rounding, table
 from .portfolio_queries import DAY, _RANKW, _REBAL, _weekly
 
 W = "PARTITION BY asset ORDER BY ts"
@@ -253,7 +253,7 @@ def rsi_atr_adx(spark: SparkSession, sf: str) -> DataFrame:
         h, l, c = (d[x].to_numpy(dtype=float) for x in ("high", "low", "close"))  # noqa: E741
         return {"rsi": recursive.rsi(c, 14), **recursive.regime(h, l, c), "squeeze": recursive.squeeze(h, l, c, 20, 2.0, 20, 1.5)}
 
-    names = ["rsi", "atr", "plus_di", "minus_di", "adx", "trend", "squeeze"]
+    names = ["rsi", "atr", "atr_ratio", "plus_di", "minus_di", "adx", "trend", "squeeze"]
     return rounded(recursive.by_asset(event_hours(spark, sf), names, work, ["high", "low", "close"]).select("asset", "ts", *names))
 
 
@@ -263,7 +263,7 @@ def market_cap_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _BOOK = """lv AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 1 THEN 'bid' ELSE 'ask' END AS side,
-    CASE WHEN l_linenumber % 2 = 1 THEN 1000 - l_linenumber * 0.4::DOUBLE - l_discount ELSE 1000 + l_linenumber * 0.3::DOUBLE + l_tax END AS price, sum(l_quantity / 20) AS size FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY ALL),
+    CASE WHEN l_linenumber % 2 = 1 THEN 1000 - l_linenumber * 0.4::DOUBLE - l_discount ELSE 1000 + l_linenumber * 0.3::DOUBLE + l_tax END AS price, sum(l_quantity / 20) AS size FROM lineitem GROUP BY ALL),
   m AS (SELECT *, max(CASE WHEN side = 'bid' THEN price END) OVER (PARTITION BY l_orderkey) AS bid, min(CASE WHEN side = 'ask' THEN price END) OVER (PARTITION BY l_orderkey) AS ask, price * size AS v FROM lv),
   b AS (SELECT *, (bid + ask) / 2 AS mid, coalesce(sum(v) OVER (PARTITION BY l_orderkey, side ORDER BY CASE WHEN side = 'ask' THEN price ELSE -price END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bf FROM m),
   c AS (SELECT *, abs(price / mid - 1) * 1e4 AS bp FROM b)"""
@@ -334,6 +334,14 @@ QUERIES = {
       e(asset, ts, i, y, w) AS (SELECT asset, ts, i, close, CASE WHEN close IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM r WHERE i = 1
         UNION ALL SELECT r.asset, r.ts, r.i, CASE WHEN r.close IS NULL THEN e.y WHEN e.y IS NULL THEN r.close ELSE (e.w * (11.0::DOUBLE / 13) * e.y + (2.0::DOUBLE / 13) * r.close) / (e.w * (11.0::DOUBLE / 13) + 2.0::DOUBLE / 13) END, CASE WHEN r.close IS NULL THEN e.w * (11.0::DOUBLE / 13) ELSE 1.0::DOUBLE END FROM e JOIN r ON r.asset = e.asset AND r.i = e.i + 1)
       SELECT asset, ts, round(y, 6) + 0.0::DOUBLE AS ema12 FROM e"""),
-    "rsi_atr_adx": (rsi_atr_adx, None),
+    "rsi_atr_adx": (rsi_atr_adx, rounding("RECURSIVE " + EVENT_HOURS.strip() + f""", b AS (SELECT *, lag(close) OVER ({W}) AS pc, lag(high) OVER ({W}) AS ph, lag(low) OVER ({W}) AS pl FROM bars),
+      i AS (SELECT asset, ts, close, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss,
+        CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS up, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS down FROM b),
+      {ema_cte("e", "i", {"gain": ("gain", 14), "loss": ("loss", 14), "atr": ("tr", 14), "up": ("up", 14), "down": ("down", 14), "mid": ("close", 20), "wide": ("tr", 20)})},
+      k AS (SELECT *, 100 * up / atr AS plus_di, 100 * down / atr AS minus_di, CASE WHEN loss <> 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, CASE WHEN count(atr) OVER v >= 20 THEN atr / avg(atr) OVER v END AS atr_ratio FROM e WINDOW v AS ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+      n AS (SELECT asset, ts, CASE WHEN plus_di + minus_di <> 0 THEN 100 * abs(plus_di - minus_di) / (plus_di + minus_di) END AS dx FROM k), {ema_cte("x", "n", {"adx": ("dx", 14)})},
+      bb AS (SELECT asset, ts, CASE WHEN count(close) OVER v >= 20 THEN avg(close) OVER v END AS m, stddev_pop(close) OVER v AS sd FROM i WINDOW v AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+      z AS (SELECT asset, ts, rsi, atr, atr_ratio, plus_di, minus_di, adx, CASE WHEN coalesce(adx, 0) > 25 AND atr_ratio > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS trend,
+        CASE WHEN m + 2 * sd < mid + 1.5 * wide AND m - 2 * sd > mid - 1.5 * wide THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squeeze FROM k JOIN x USING (asset, ts) JOIN bb USING (asset, ts))""", "rsi, atr, atr_ratio, plus_di, minus_di, adx, trend, squeeze", "asset, ts")),
     "market_cap_scope": (market_cap_scope, "WITH " + NATION_MONTH.strip() + " SELECT asset, ts, coalesce(close IS NOT NULL AND vol_quote >= quantile_cont(CASE WHEN close IS NOT NULL THEN vol_quote END, 0.5) OVER (PARTITION BY ts), false) AS large FROM p"),
 }

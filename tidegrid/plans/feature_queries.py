@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl
-from ..functions.numeric import asset_time, change, clip, div, forward, lag, rolling
+from ..functions.numeric import asset_time, change, clip, div, forward, lag, rolling, trailing
 from ..operators import grid
 from ..operators import timeseries as ts
 from .panels import EVENT_DAYS, EVENT_HOURS, NATION_DAY, NATION_MONTH, SUPPLIER_MONTH, event_days, event_grid, event_hours, nation_day, nation_month, rounded, rounding, supplier_month, table
@@ -71,7 +71,10 @@ def zscore_clip(spark: SparkSession, sf: str) -> DataFrame:
     """Long z-scores from running sums, lagged and clipped to five deviations."""
     p = ts.long_moments(nation_day(spark, sf), "close", 120, "m", "s", 40)
     p = p.withColumn("z", clip(div(F.col("close") - F.col("m"), F.when(F.col("s") > 1e-9, F.col("s"))), -5, 5))
-    return rounded(p.select("asset", "ts", "z", lag("z").alias("z_lag")), 4)
+    # Sums of decimals are exact in any order, so the mean has all its digits.
+    exact = rolling(F.sum, F.col("close").cast("decimal(28,8)"), 120, 40).cast("double")
+    p = p.withColumn("mean_120", exact / F.count("close").over(trailing(120)))
+    return p.select("asset", "ts", F.round("z", 4).alias("z"), F.round(lag("z"), 4).alias("z_lag"), F.round("mean_120", 6).alias("mean_120"))
 
 
 def carry_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,9 +212,9 @@ QUERIES = {
       b AS (SELECT *, {_roll("stddev_samp({})", "r", 12, 6)} AS realized_vol, ln({_roll("avg({})", "dv", 12, 6)}) AS liquidity_size, {_roll("sum(abs({}))", "r", 12, 6)} AS sr, {_roll("sum({})", "dv", 12, 6)} AS sv FROM a),
       z AS (SELECT asset, ts, realized_vol, liquidity_size, liquidity_size - lag(liquidity_size, 3) OVER ({W}) AS liquidity_change, sr / sv * 1e6 AS amihud, m3 / realized_vol AS vol_managed FROM b)""", "realized_vol, liquidity_size, liquidity_change, amihud, vol_managed", "asset, ts")),
     "volume_shock": _q(volume_shock, rounding(NATION_DAY + f""", z AS (SELECT asset, ts, ({_roll("sum({})", "volume", 7, 3)}) / ({_roll("avg({})", "volume", 60, 30)}) AS volume_shock FROM p)""", "volume_shock", "asset, ts")),
-    "zscore_clip": _q(zscore_clip, rounding(NATION_DAY + f""", a AS (SELECT *, {_roll("avg({})", "close", 120, 40)} AS mean_120, {_roll("stddev_samp({})", "close", 120, 40)} AS s FROM p),
-      b AS (SELECT *, greatest(-5, least(5, (close - mean_120) / s)) AS z0 FROM a), c AS (SELECT asset, ts, CASE WHEN close IS NOT NULL AND s IS NOT NULL THEN z0 END AS z, mean_120 FROM b),
-      z AS (SELECT asset, ts, z, lag(z) OVER ({W}) AS z_lag FROM c)""", "z, z_lag", "asset, ts", 4)),
+    "zscore_clip": _q(zscore_clip, rounding(NATION_DAY + f""", a AS (SELECT *, {_roll("avg({})", "close", 120, 40)} AS mean_a, ({_roll("sum(CAST({} AS DECIMAL(28,8)))", "close", 120, 40)})::DOUBLE / count(close) OVER ({W} ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS mean_120, {_roll("stddev_samp({})", "close", 120, 40)} AS s FROM p),
+      b AS (SELECT *, greatest(-5, least(5, (close - mean_a) / s)) AS z0 FROM a), c AS (SELECT asset, ts, CASE WHEN close IS NOT NULL AND s IS NOT NULL THEN z0 END AS z, mean_120 FROM b),
+      z AS (SELECT asset, ts, round(z, 4) AS z, round(lag(z) OVER ({W}), 4) AS z_lag, mean_120 FROM c)""", "z, z_lag, mean_120", "asset, ts", 6)),
     "carry_features": _q(carry_features, rounding(NATION_DAY + f""", a AS (SELECT *, CASE WHEN volume >= 2 THEN close / 1e6 END AS rate, close / lag(close, 5) OVER ({W}) - 1 AS mom, vol_quote / lag(vol_quote, 5) OVER ({W}) - 1 AS oi0 FROM p),
       b AS (SELECT *, last_value(rate IGNORE NULLS) OVER ({W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS signal, CASE WHEN oi0 IS NOT NULL THEN least(3, greatest(-1, oi0)) END AS oi FROM a),
       c AS (SELECT *, lag(signal) OVER ({W}) AS carry, {_roll("avg({})", "signal", 20, 8)} AS p0 FROM b),

@@ -103,3 +103,16 @@ def rounding(sql: str, doubles: str, others: str, digits: int = 6) -> str:
     """The same over the last CTE ``z``."""
     parts = [c.strip() for c in others.split(",") if c.strip()] + [f"round({c.strip()}, {digits}) + 0.0::DOUBLE AS {c.strip()}" for c in doubles.split(",") if c.strip()]
     return f"WITH {sql.strip()} SELECT {', '.join(parts)} FROM z"
+
+
+def ema_cte(name: str, source: str, columns: dict[str, tuple[str, int]]) -> str:
+    """Recursive CTE ``name (asset, ts, i, columns)`` of exponential means by output, from input and span; over gaps the old weight decays."""
+    head, first, step = [], [], []
+    for out, (x, span) in columns.items():
+        keep, a = f"{(span - 1)}.0::DOUBLE / {span + 1}", f"2.0::DOUBLE / {span + 1}"
+        head += [out, f"w_{out}"]
+        first += [f"{x}::DOUBLE", f"CASE WHEN {x} IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END"]
+        step += [f"CASE WHEN r.{x} IS NULL THEN q.{out} WHEN q.{out} IS NULL THEN r.{x} ELSE (q.w_{out} * ({keep}) * q.{out} + ({a}) * r.{x}) / (q.w_{out} * ({keep}) + {a}) END", f"CASE WHEN r.{x} IS NULL THEN q.w_{out} * ({keep}) ELSE 1.0::DOUBLE END"]
+    return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS i FROM {source}),
+      {name}(asset, ts, i, {", ".join(head)}) AS (SELECT asset, ts, i, {", ".join(first)} FROM {name}_r WHERE i = 1
+        UNION ALL SELECT r.asset, r.ts, r.i, {", ".join(step)} FROM {name} q JOIN {name}_r r ON r.asset = q.asset AND r.i = q.i + 1)"""

@@ -11,7 +11,7 @@ from ..operators import crosssection as xs
 from ..operators import grid, inference, strategy, timeseries
 from ..operators import portfolio as pf
 from .inference_queries import PATHS, paths
-from .panels import event_grid, nation_day, nation_month, rounded, rounding
+from .panels import EVENT_HOURS, ema_cte, event_grid, nation_day, nation_month, rounded, rounding
 from .portfolio_queries import DAY, FEATURES, _avg_rank_sql, features
 
 W = "PARTITION BY asset ORDER BY ts"
@@ -24,9 +24,34 @@ def _filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_library(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules on every event type, by metric."""
-    d = strategy.indicators(_filled(spark, sf)).withColumn("funding", change("close", 8) / 100)
-    return rounded(strategy.position_metrics(strategy.evaluate_rules(d, strategy.rules("funding")), 8760))
+    """All 29 rules on every event type, by metric; funding is a fiftieth of the change over eight rows."""
+    d = strategy.indicators(_filled(spark, sf)).withColumn("rate", change("close", 8) / 50)
+    d = strategy.funding_features(d, "rate", 240, 80).withColumn("noise", strategy.noise())
+    return rounded(strategy.position_metrics(strategy.evaluate_rules(d, strategy.rules(funding=True)), 8760))
+
+
+def _rank_sql(x: str) -> str:
+    return f"(len(list_filter(l_{x}, lambda v: v < {x})) + (len(list_filter(l_{x}, lambda v: v = {x})) + 1) / 2.0::DOUBLE) / len(list_filter(l_{x}, lambda v: v IS NOT NULL))"
+
+
+def _rule_sql() -> str:
+    roll = lambda f, x, k, least=None: f"CASE WHEN count({x}) OVER ({W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) >= {least or k} THEN {f.format(x)} OVER ({W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) END"
+    last = lambda x: f"last_value({x} IGNORE NULLS) {RUN}"
+    made = " UNION ALL ".join(f"SELECT '{n}' AS rule, asset, ts, r, CASE WHEN {up} THEN 1.0::DOUBLE WHEN {down} THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM i7" for n, (up, down) in (strategy.RULES | strategy.FUNDING_RULES).items())
+    means = ", ".join(f"CASE WHEN count(close) {RUN} >= {n} THEN e{n} END AS ema{n}" for n in (20, 50, 100, 200))
+    return "RECURSIVE " + EVENT_HOURS.strip() + f""", q AS (SELECT asset, ts, {last("close")} AS close, {last("high")} AS high, {last("low")} AS low, coalesce(volume, 0) AS volume FROM p),
+  i0 AS (SELECT *, lag(close) OVER ({W}) AS pc FROM q), i1 AS (SELECT *, CASE WHEN high IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, greatest(close - pc, 0) AS g0, greatest(pc - close, 0) AS s0, close * volume AS pv FROM i0),
+  i1b AS (SELECT * REPLACE (CASE WHEN pc IS NOT NULL THEN g0 END AS g0, CASE WHEN pc IS NOT NULL THEN s0 END AS s0) FROM i1),
+  {ema_cte("em", "i1b", {"e20": ("close", 20), "e50": ("close", 50), "e100": ("close", 100), "e200": ("close", 200), "gain": ("g0", 27), "loss": ("s0", 27)})},
+  i2 AS (SELECT b.*, {means}, CASE WHEN count(g0) {RUN} >= 14 AND loss <> 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi14 FROM i1b b JOIN em USING (asset, ts)),
+  i3 AS (SELECT *, {roll("avg({})", "tr", 14)} / nullif(close, 0) AS atr_pct, {roll("sum({})", "pv", 72)} / nullif({roll("sum({})", "volume", 72)}, 0) AS vwap72, {roll("sum({})", "pv", 168)} / nullif({roll("sum({})", "volume", 168)}, 0) AS vwap168,
+    {roll("avg({})", "close", 20)} AS mid, 2 * ({roll("stddev_samp({})", "close", 20)}) AS width, {roll("max({})", "close", 72)} AS top, {roll("min({})", "close", 72)} AS bottom, close / nullif(lag(close, 20) OVER ({W}), 0) - 1 AS ret20, close / nullif(lag(close, 24) OVER ({W}), 0) - 1 AS ret24,
+    {roll("avg({})", "close", 50)} AS mean50, (close / nullif(lag(close, 8) OVER ({W}), 0) - 1) / 50 AS rate, close / nullif(pc, 0) - 1 AS r, list(ema20) OVER ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS l_ema20, list(volume) OVER ({W} ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS l_volume FROM i2),
+  i4 AS (SELECT *, {roll("quantile_cont({}, 0.5)", "atr_pct", 120, 60)} AS atr_median, mid + width AS band_high, mid - width AS band_low, lag(top) OVER ({W}) AS high72, lag(bottom) OVER ({W}) AS low72, lag(ema100, 24) OVER ({W}) AS ema100_24, lag(ema200, 24) OVER ({W}) AS ema200_24,
+    CASE WHEN ema20 IS NOT NULL AND len(list_filter(l_ema20, lambda v: v IS NOT NULL)) >= 60 THEN {_rank_sql("ema20")} END AS ema20_rank, CASE WHEN len(l_volume) >= 60 THEN {_rank_sql("volume")} END AS volume_rank, {last("rate")} AS filled, md5(asset || '|' || strftime(ts, '%Y%m%d%H')) AS noise FROM i3),
+  i5 AS (SELECT *, lag(filled) OVER ({W}) AS funding FROM i4), i6 AS (SELECT *, (funding - ({roll("avg({})", "funding", 240, 80)})) / nullif({roll("stddev_samp({})", "funding", 240, 80)}, 0) AS fz FROM i5),
+  i7 AS (SELECT *, CASE WHEN fz IS NOT NULL THEN greatest(-5, least(5, fz)) END AS funding_z FROM i6),
+  pm AS ({made}), """
 
 
 def position_backtest(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +162,7 @@ _POS = """pm AS (SELECT rule, asset, ts, r, p FROM (SELECT 'momentum_3' AS rule,
 _SPLITS = """t AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM {src})),
   s AS (SELECT ts, CASE WHEN pos < floor(n * 0.5::DOUBLE) THEN 'is' WHEN pos < floor(n * 0.5::DOUBLE) + floor(n * 0.17::DOUBLE) THEN 'val' ELSE 'holdout' END AS split FROM t)"""
 QUERIES = {
-    "rule_library": (rule_library, None),
+    "rule_library": (rule_library, rounding(_rule_sql() + _POS[_POS.index("h AS (") :].replace("sqrt(12.0::DOUBLE)", "sqrt(8760.0::DOUBLE)").replace("avg(pnl) / stddev_samp(pnl) * sqrt(8760.0::DOUBLE)", "coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(8760.0::DOUBLE), 0)"), "total, sharpe, max_drawdown, exposure, long_share, profit_factor, best, worst", "rule, asset, n, trades")),
     "position_backtest": (position_backtest, rounding(FEATURES + ", " + _POS, "total, sharpe, max_drawdown, exposure, long_share, profit_factor, best, worst", "rule, asset, n, trades")),
     "path_correlations": (path_correlations, rounding(PATHS + ", z AS (SELECT * FROM (SELECT x.path AS a, y.path AS b, corr(x.r, y.r) AS corr FROM path x JOIN path y ON x.ts = y.ts AND x.path < y.path GROUP BY ALL) WHERE abs(corr) <= 0.2)", "corr", "a, b")),
     "walk_forward": (walk_forward, rounding(PATHS + ", sg AS (SELECT ts, ntile(5) OVER (ORDER BY ts) AS part FROM (SELECT DISTINCT ts FROM path)), z AS (SELECT path, part, avg(r) / stddev_samp(r) * sqrt(12.0::DOUBLE) AS sharpe, sum(r) AS total, count(*) AS n FROM path JOIN sg USING (ts) GROUP BY ALL)", "sharpe, total", "path, part, n")),
