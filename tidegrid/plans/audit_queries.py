@@ -338,7 +338,7 @@ QUERIES = {
       i AS (SELECT asset, ts, close, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN pc IS NOT NULL THEN greatest(close - pc, 0) END AS gain, CASE WHEN pc IS NOT NULL THEN greatest(pc - close, 0) END AS loss,
         CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS up, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS down FROM b),
       {ema_cte("e", "i", {"gain": ("gain", 14), "loss": ("loss", 14), "atr": ("tr", 14), "up": ("up", 14), "down": ("down", 14), "mid": ("close", 20), "wide": ("tr", 20)})},
-      k AS (SELECT *, 100 * up / atr AS plus_di, 100 * down / atr AS minus_di, CASE WHEN loss <> 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, CASE WHEN count(atr) OVER v >= 20 THEN atr / avg(atr) OVER v END AS atr_ratio FROM e WINDOW v AS ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+      k AS (SELECT *, 100 * up / nullif(atr, 0) AS plus_di, 100 * down / nullif(atr, 0) AS minus_di, CASE WHEN loss <> 0 THEN 100 - 100 / (1 + gain / loss) END AS rsi, CASE WHEN count(atr) OVER v >= 20 THEN atr / avg(atr) OVER v END AS atr_ratio FROM e WINDOW v AS ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
       n AS (SELECT asset, ts, CASE WHEN plus_di + minus_di <> 0 THEN 100 * abs(plus_di - minus_di) / (plus_di + minus_di) END AS dx FROM k), {ema_cte("x", "n", {"adx": ("dx", 14)})},
       bb AS (SELECT asset, ts, CASE WHEN count(close) OVER v >= 20 THEN avg(close) OVER v END AS m, stddev_pop(close) OVER v AS sd FROM i WINDOW v AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
       z AS (SELECT asset, ts, rsi, atr, atr_ratio, plus_di, minus_di, adx, CASE WHEN coalesce(adx, 0) > 25 AND atr_ratio > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS trend,
