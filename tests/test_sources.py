@@ -109,3 +109,22 @@ def test_history_and_missing(spark):
     assert [tuple(r) for r in market.missing_assets(wanted, ("bars", d)).collect()] == [("c", "bars")]
     s = market.synthetic_panel(spark, 3, 5)
     assert s.count() == 15 and s.exceptAll(market.synthetic_panel(spark, 3, 5)).count() == 0
+
+
+def test_cursor_source_and_statuses(spark):
+    calls = []
+
+    def once():
+        calls.append(1)
+        raise market.ServiceError(404)
+
+    with pytest.raises(market.ServiceError):
+        market.with_retries(once, sleep=lambda s: None)
+    assert len(calls) == 1 and market.passing(market.ServiceError(503)) and market.passing(market.ServiceError(429)) and not market.passing(market.ServiceError(400))
+    waits = []
+    with pytest.raises(TimeoutError):
+        market.with_retries(lambda: (_ for _ in ()).throw(TimeoutError()), attempts=4, wait=1, sleep=waits.append)
+    assert waits == [1, 2, 4]
+    # A service that gives the same cursor for ever is left after it comes again.
+    spark.dataSource.register(market.cursor_source("looping", lambda key, cursor: ([{"k": key}], "again")))
+    assert spark.read.format("looping").option("keys", "a").load().count() == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -30,3 +31,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new folder under the cluster's ``spark.checkpoint.dir``; where that is unset, as in tests, under a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tidegrid/{label}-{uuid.uuid4().hex}"

@@ -241,17 +241,103 @@ def read_book_messages(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(m["instId"].alias("inst"), m["ts"].cast("long").alias("ts_ms"), F.col("line").alias("seq"), m["action"].alias("action"), level(m["bids"]).alias("bids"), level(m["asks"]).alias("asks"))
 
 
+class ServiceError(RuntimeError):
+    """A service's answer with a status; 429 and 5xx may pass."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(f"{status} {message}".strip())
+        self.status = status
+
+    def __reduce__(self):
+        return ServiceError, (self.status, str(self).partition(" ")[2])
+
+
+def passing(error: Exception) -> bool:
+    """Whether an error may pass: a lost connection, too many calls, or a fault of the service."""
+    if isinstance(error, ServiceError):
+        return error.status == 429 or 500 <= error.status < 600
+    return isinstance(error, OSError | TimeoutError)
+
+
 def with_retries(call: Callable[[], object], attempts: int = 5, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep):
     """Calls again after errors that may pass, waiting twice as long each time."""
     for i in range(attempts):
         try:
             return call()
-        except (OSError, TimeoutError):
-            if i == attempts - 1:
+        except Exception as error:
+            if i == attempts - 1 or not passing(error):
                 raise
             sleep(wait * 2**i)
 
 
+class CursorReader(DataSourceReader):
+    """One partition a key; its pages follow each other by cursor until there is none, or one comes again."""
+
+    def __init__(self, options: dict, fetch: Callable[[str, str | None], tuple[list[dict], str | None]]):
+        self.keys, self.fetch, self.wait = options["keys"].split(","), fetch, float(options.get("wait", 0.5))
+
+    def partitions(self) -> list[Part]:
+        return [Part((k,)) for k in self.keys]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        (key,), cursor, page, seen = partition.value, None, 0, set()
+        while True:
+            rows, cursor = with_retries(lambda: self.fetch(key, cursor), wait=self.wait)  # noqa: B023
+            for row in rows:
+                yield key, page, json.dumps(row, sort_keys=True)
+            page += 1
+            if cursor is None or cursor in seen:
+                return
+            seen.add(cursor)
+
+
+def cursor_source(source: str, fetch: Callable[[str, str | None], tuple[list[dict], str | None]]) -> type[DataSource]:
+    """A data source over a service that pages by cursor (before, after or a token): ``fetch(key, cursor)`` gives rows and the next cursor."""
+
+    class Cursored(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return source
+
+        def schema(self) -> str:
+            return "asset string, page int, payload string"
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return CursorReader(self.options, fetch)
+
+    return Cursored
+
+
+def write_zipped_csv(df: DataFrame, directory: str) -> DataFrame:
+    """Each partition's rows as one CSV member, with a header line, of a new ZIP file; returns the files that finished tasks wrote."""
+    names = df.columns
+
+    def work(frames):
+        import csv
+        import io
+        import uuid
+        import zipfile
+
+        import pandas as pd
+
+        text = io.StringIO()
+        out, n = csv.writer(text), 0
+        out.writerow(names)
+        for pdf in frames:
+            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                out.writerow(row)
+                n += 1
+        if n:
+            fs, root = _fs(directory)
+            fs.create_dir(root, recursive=True)
+            name = f"{uuid.uuid4().hex}.zip"
+            with fs.open_output_stream(f"{root}/{name}") as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("rows.csv", text.getvalue())
+            yield pd.DataFrame([(f"{directory}/{name}", n)], columns=["path", "n"])
+
+    return df.mapInPandas(work, "path string, n long")
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Callable[[str, int], list[dict]]):
         self.keys, self.pages, self.fetch = options["keys"].split(","), int(options.get("pages", 1)), fetch
