@@ -112,7 +112,7 @@ def _by_document(rows: DataFrame) -> DataFrame:
             for blob in b.column(b.schema.get_field_index("v")).to_pylist():
                 doc, key, first, stop = _spans(*(x.astype(np.int64) for x in _read(blob, False)))
                 cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else doc
-                ends = np.concatenate([cut[1:], [len(doc)]])
+                ends = np.array([*cut[1:], len(doc)][: len(cut)], dtype=np.int64)
                 both = np.stack([first, stop], axis=1).astype("<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(key[cut]), pa.array([both[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())], names=["_id", "_key", "_r"])
 
@@ -139,7 +139,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, span: int, buckets:
             bucket = (gram[o] >> np.uint64(44)).astype(np.int64) % buckets
             o, bucket = o[np.argsort(bucket, kind="stable")], np.sort(bucket)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(o) else o
-            for s, e in zip(cut, np.concatenate([cut[1:], [len(o)]]), strict=True):
+            for s, e in zip(cut, [*cut[1:], len(o)][: len(cut)], strict=True):
                 p = o[s:e]
                 rows.append(_rows(0, int(bucket[s]), doc[p], key[p], first[p], last[p], gram[p], content[p]))
             return _batch(rows)
