@@ -38,7 +38,7 @@ BLOCK = 1 << 19
 #: Text bytes of a bucket of pieces, on average; a bucket is settled in one go.
 BUCKET = 2 << 20
 #: Text bytes of a shard in the final sort; a k-gram's contenders stay together.
-SHARD = 2 << 20
+SHARD = 1 << 20
 #: The id that stands for null: below all others.
 NULL_ID = -(1 << 63)
 
