@@ -158,7 +158,9 @@ def brute_repeats(rows, span=100):
     return out
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_repeats(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = [(1, None), (2, ""), (3, "x" * 350), (4, "x" * 150 + "y" * 99 + "é" * 60), (5, A), (6, "q" + A[100:260] + "z"), (7, A[:100]), (8, A[5:104]), (9, A + A), (None, A[50:170]), (10, "é" * 30 + A[200:330] + "é" * 60)]
     rows += [(20 + i, A[i * 3 : i * 3 + 150]) for i in range(40)] + [(100, A), (100, A)]
     got = {}

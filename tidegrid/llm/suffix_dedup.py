@@ -12,6 +12,9 @@ the whole corpus in one place:
 3. Contenders fetch their bytes. Each shard of contenders is suffix-sorted by
    external induced sorting (``suffix_sort``), and every run of suffixes with
    a common prefix of ``span`` bytes keeps its earliest place.
+   A k-gram with very many contenders (a passage with ever new surroundings)
+   is split first: each of its windows goes by its own content, the later of
+   equal ones in a task are repeats at once, and shards get the rest.
 4. The repeats of a document are united and cut from its bytes.
 """
 
@@ -26,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_blocks
+from .common import materialize, small_batches, text_blocks, xxh64
 from .suffix_sort import Shard
 from .windows import pieces, sections
 
@@ -39,6 +42,8 @@ BLOCK = 1 << 19
 BUCKET = 2 << 20
 #: Text bytes of a shard in the final sort; a k-gram's contenders stay together.
 SHARD = 1 << 20
+#: Contenders of a k-gram from which on it is split by window.
+HOT = 1024
 #: The id that stands for null: below all others.
 NULL_ID = -(1 << 63)
 
@@ -166,7 +171,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, span: int, buckets:
 
 
 def settle(found: DataFrame, span: int) -> DataFrame:
-    """Repeats (kind 1) and contenders (kind 2: different pieces under one k-gram)."""
+    """Repeats (kind 1) and contenders (kind 2: different pieces under one k-gram; 3: very many of them)."""
+    hot_from = HOT
+
     def close(blobs: list[bytes]):
         doc, key, first, last, gram, content = (np.concatenate(x) for x in zip(*(_read(b, True) for b in blobs), strict=True))
         order, head, again = _earliest(gram, content, doc, first)
@@ -177,9 +184,11 @@ def settle(found: DataFrame, span: int) -> DataFrame:
         g = gram[order]
         group = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1
         several = np.bincount(group, weights=head)[group] > 1
-        o = order[several & ~again]
-        if len(o):
-            rows.append(_rows(2, 0, doc[o], key[o], first[o], last[o], gram[o], content[o]))
+        many = np.bincount(group, weights=~again)[group] >= hot_from
+        for kind, chosen in ((2, several & ~again & ~many), (3, several & ~again & many)):
+            o = order[chosen]
+            if len(o):
+                rows.append(_rows(kind, 0, doc[o], key[o], first[o], last[o], gram[o], content[o]))
         return _batch(rows) if rows else None
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,27 +211,61 @@ def settle(found: DataFrame, span: int) -> DataFrame:
 
 
 def fetch(contenders: DataFrame, packed: DataFrame, span: int) -> DataFrame:
-    """Contenders with their bytes, by shard key: rows (g, v) of packed places and contents."""
+    """Contenders with their bytes, by shard key: places ``doc, key, f``, key ``g`` and content ``v``.
+
+    The windows of a split k-gram come one by one under the hash of their
+    content; those that a task has met earlier have no content, they are
+    repeats.
+    """
+    unit = UNIT
+
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob in b.column(b.schema.get_field_index("v")).to_pylist():
+            for kind, blob in zip(b.column(b.schema.get_field_index("kind")).to_pylist(), b.column(b.schema.get_field_index("v")).to_pylist(), strict=True):
                 doc, key, first, last, gram, _ = _read(blob, True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array(gram.view(np.int64))], names=["_id", "_key", "f", "l", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array(gram.view(np.int64)), pa.array(np.full(len(doc), kind == 3))], names=["_id", "_key", "f", "l", "g", "many"])
+
+    wanted = contenders.mapInArrow(spread, "_id long, _key long, f long, l long, g long, many boolean")
+    wanted = wanted.groupBy("_id", "_key").agg(F.collect_list(F.struct("f", "l", "g", "many")).alias("w"))  # a document's own pieces
 
-    wanted = contenders.mapInArrow(spread, "_id long, _key long, f long, l long, g long")
-    wanted = wanted.groupBy("_id", "_key").agg(F.collect_list(F.struct("f", "l", "g")).alias("w"))  # a document's own pieces
+    def windows_of(seen: dict[bytes, tuple[int, int, int]]) -> list[tuple]:
+        contents = list(seen)
+        buf = np.frombuffer(b"".join(contents) + b"\0" * 32, dtype=np.uint8)
+        at = np.arange(len(contents)) * span
+        g = xxh64(buf, at, at + span, 5).view(np.int64).tolist()
+        return [(*place, k, c) for (c, place), k in zip(seen.items(), g, strict=True)]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "key", "f", "g", "v"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
+        seen: dict[bytes, tuple[int, int, int]] = {}  # windows of split k-grams and their earliest places
         for b in batches:
             out: list[tuple] = []
             for doc, key, z, w in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 text = unzip.decompress(z)
-                out += [(doc, key, x["f"], x["g"], text[x["f"] : x["l"] + span]) for x in w]
+                for x in w:
+                    if not x["many"]:
+                        out.append((doc, key, x["f"], x["g"], text[x["f"] : x["l"] + span]))
+                        continue
+                    for at in range(x["f"], x["l"] + 1):
+                        content, place = text[at : at + span], (doc, key, at)
+                        old = seen.setdefault(content, place)
+                        if (old[0], old[2]) > (doc, at):
+                            seen[content], place, old = place, old, place
+                        if (old[0], old[2]) != (place[0], place[2]):
+                            out.append((*place, place[2], None))
+                        elif old != place:  # the same place in another row with this id
+                            out += windows_of({content: place})
+            if len(seen) * span > unit:
+                out += windows_of(seen)
+                seen = {}
             if out:
-                cols = zip(*out, strict=True)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "key", "f", "g", "v"])
+                yield batch(out)
+        if seen:
+            yield batch(windows_of(seen))
 
     return packed.join(wanted, ["_id", "_key"]).select("_id", "_key", "_z", "w").mapInArrow(cut, "doc long, key long, f long, g long, v binary")
 
@@ -282,13 +325,20 @@ def compare(contents: DataFrame, span: int) -> DataFrame:
             return _batch([_rows(1, 0, *_repeats(np.array(doc), np.array(key), np.array(first), v, span))])
 
         for batch in batches:
+            known: list[tuple] = []  # repeats already
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[4] is None:
+                    known.append(row[:3])
+                    continue
                 if size > SHARD and row[3] != now:
                     yield flush()
                     held, size = [], 0
                 now = row[3]
                 held.append(row)
                 size += len(row[4])
+            if known:
+                doc, key, first = (np.array(x) for x in zip(*known, strict=True))
+                yield _batch([_rows(1, 0, *_spans(doc, key, first, first + span))])
         if held:
             yield flush()
 
@@ -313,7 +363,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     buckets = max(128, total // BUCKET)
     packed = _packed(docs, id_col, text_col)
     settled = materialize(settle(candidates(docs, id_col, text_col, span, buckets), span), "suffix-settled")
-    contents = fetch(settled.where("kind = 2"), packed, span)
+    contents = fetch(settled.where("kind IN (2, 3)"), packed, span)
     found = settled.where("kind = 1").unionByName(compare(contents, span))
     ranges = _by_document(found)
     kind = docs.schema[id_col].dataType.simpleString()
