@@ -42,8 +42,8 @@ BLOCK = 1 << 19
 BUCKET = 2 << 20
 #: Text bytes of a shard in the final sort; a k-gram's contenders stay together.
 SHARD = 1 << 20
-#: Contenders of a k-gram from which on it is split by window.
-HOT = 1024
+#: Contenders of a k-gram from which on it is split by window: those that no longer fit in a shard.
+HOT = SHARD // (2 * SPAN)
 #: The id that stands for null: below all others.
 NULL_ID = -(1 << 63)
 
