@@ -309,5 +309,8 @@ QUERIES = {
       t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i, list(asset) FILTER (WHERE rk <= 3) AS enter, list(asset) FILTER (WHERE rk <= 6) AS hold FROM rk GROUP BY ts),
       st(i, m) AS (SELECT i, list_sort(enter) FROM t WHERE i = 1 UNION ALL SELECT t.i, list_sort(list_distinct(list_concat(list_intersect(st.m, t.hold), t.enter))) FROM st JOIN t ON t.i = st.i + 1)
       SELECT rk.ts, rk.asset, list_contains(st.m, rk.asset) AS member FROM rk JOIN t ON rk.ts = t.ts JOIN st ON st.i = t.i"""),
-    "residual_multi": (residual_multi, None),
+    "residual_multi": (residual_multi, rounding(FEATURES + """, g AS (SELECT asset, ts, mom AS y, size, volume, count(*) OVER (PARTITION BY ts) AS n FROM f WHERE mom IS NOT NULL AND size IS NOT NULL AND volume IS NOT NULL),
+      u AS (SELECT asset, ts, n, y - avg(y) OVER t AS y, (size - avg(size) OVER t) / nullif(stddev_samp(size) OVER t, 0) AS a, (volume - avg(volume) OVER t) / nullif(stddev_samp(volume) OVER t, 0) AS b FROM g WHERE n >= 8 WINDOW t AS (PARTITION BY ts)),
+      m AS (SELECT *, sum(a * a) OVER t AS aa, sum(b * b) OVER t AS bb, sum(a * b) OVER t AS ab, sum(a * y) OVER t AS ay, sum(b * y) OVER t AS sy FROM u WINDOW t AS (PARTITION BY ts)),
+      o AS (SELECT asset, ts, y - a * (bb * ay - ab * sy) / (aa * bb - ab * ab) - b * (aa * sy - ab * ay) / (aa * bb - ab * ab) AS res FROM m), z AS (SELECT f.asset, f.ts, res FROM f LEFT JOIN o USING (asset, ts))""", "res", "asset, ts", 5)),
 }

@@ -10,8 +10,8 @@ from ..functions.numeric import change, lag
 from ..operators import crosssection as xs
 from ..operators import grid, inference, strategy, timeseries
 from ..operators import portfolio as pf
-from .inference_queries import PATHS, paths
-from .panels import EVENT_HOURS, ema_cte, event_grid, nation_day, nation_month, rounded, rounding
+from .inference_queries import PATHS, _nw_sql, paths
+from .panels import EVENT_HOURS, NATION_MONTH, ema_cte, event_grid, nation_day, nation_month, rounded, rounding
 from .portfolio_queries import DAY, FEATURES, _avg_rank_sql, features
 
 W = "PARTITION BY asset ORDER BY ts"
@@ -175,7 +175,8 @@ QUERIES = {
       rw AS (SELECT *, coalesce(p1 / nullif(sum(abs(p1)) OVER (PARTITION BY ts), 0), 0) AS w0 FROM b), l AS (SELECT asset, ts, last_value(CASE WHEN last_day(ts) = ts::DATE THEN w0 END IGNORE NULLS) {RUN} AS lv FROM rw),
       z AS (SELECT asset, ts, coalesce(lag(lv) OVER ({W}), 0) AS w FROM l)""", "w", "asset, ts", 8)),
     "momentum_replication": (momentum_replication, None),
-    "low_vol_replication": (low_vol_replication, None),
+    "low_vol_replication": (low_vol_replication, rounding(NATION_MONTH + ", " + _SPLITS.format(src="p") + f""", a AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r FROM p), b AS (SELECT *, -CASE WHEN count(r) OVER v >= 9 THEN stddev_samp(r) OVER v END AS signal, lead(r) OVER ({W}) AS fwd FROM a WINDOW v AS ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+      y AS (SELECT ts, {_avg_rank_sql("signal")} AS rx, {_avg_rank_sql("fwd")} AS ry FROM b WHERE signal IS NOT NULL AND fwd IS NOT NULL), i AS (SELECT ts, CASE WHEN count(*) >= 5 THEN corr(rx, ry) END AS ic FROM y GROUP BY ts), q AS (SELECT split, ts, ic FROM i JOIN s USING (ts)), """ + _nw_sql("q", "split", "ic", 3), "mean, se, t", "split, n")),
     "ic_inference": (ic_inference, rounding(FEATURES + ", " + _SPLITS.format(src="f") + f""", a AS (SELECT ts, {_avg_rank_sql("mom")} AS x, {_avg_rank_sql("fwd")} AS y FROM f),
       g AS (SELECT ts, CASE WHEN count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) >= 5 THEN corr(x, y) END AS ic FROM a GROUP BY ts),
       z AS (SELECT split, count(ic) AS n, avg(ic) AS mean, avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE WHEN ic IS NOT NULL THEN 0 END) AS positive, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t FROM g JOIN s USING (ts) GROUP BY split)""", "mean, positive, t", "split, n")),
