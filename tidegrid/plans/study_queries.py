@@ -17,7 +17,7 @@ from . import spec
 from .audit_queries import LEDGER, _ledger
 from .inference_queries import PATHS, paths
 from .panels import EVENT_HOURS, NATION_DAY, NATION_MONTH, event_grid, event_hours, nation_day, nation_month, rounded, rounding, table
-from .portfolio_queries import FEATURES, _RANKW, features
+from .portfolio_queries import _RANKW, FEATURES, _avg_rank_sql, features
 
 W = "PARTITION BY asset ORDER BY ts"
 CANDIDATES = [
@@ -221,14 +221,20 @@ QUERIES = {
       d AS (SELECT asset, notional, day, quantile_cont(cost, 0.5) AS m, quantile_cont(cost, 0.95) AS p, min(fill) AS f FROM c GROUP BY ALL), z AS (SELECT asset, notional, quantile_cont(m, 0.5) AS median_cost, max(p) AS worst_p95, min(f) AS least_fill, count(*) AS days FROM d GROUP BY ALL)""", "notional, median_cost, worst_p95, least_fill", "asset, days")),
     "calendar_coverage": (calendar_coverage, rounding(NATION_DAY + """, z AS (SELECT asset, CAST(date_diff('day', min(ts), max(ts)) + 1 AS BIGINT) AS days, count(*) AS observed, count(*) / (date_diff('day', min(ts), max(ts)) + 1)::DOUBLE AS coverage FROM p WHERE close IS NOT NULL GROUP BY asset)""", "coverage", "asset, days, observed")),
     "formation_coverage": (formation_coverage, rounding(NATION_DAY + ", " + _SPLITS.format(src="p") + """, c AS (SELECT ts, count(close) AS c FROM p WHERE dayofweek(ts) = 1 GROUP BY ts), z AS (SELECT split, count(*) AS formations, quantile_cont(c, 0.5) AS median, min(c) AS least FROM c JOIN s USING (ts) GROUP BY split)""", "median", "split, formations, least")),
-    "guardrails": (guardrails, None),
+    "guardrails": (guardrails, "WITH RECURSIVE " + LEDGER + """, c AS (SELECT candidate, family, min(event_id) AS seq, max(variant_count) AS variants, arg_min(state, event_id) AS formula FROM lg GROUP BY candidate, family),
+      r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY seq) AS i, formula || '|' || (variants % 10) AS k FROM c),
+      f(family, i, candidate, variants, used, seen, reason) AS (SELECT family, i, candidate, variants, CASE WHEN variants > 600 THEN 0::BIGINT ELSE variants END, CASE WHEN variants > 600 THEN []::VARCHAR[] ELSE [k] END, CASE WHEN variants > 600 THEN 'budget' ELSE '' END FROM r WHERE i = 1
+        UNION ALL SELECT r.family, r.i, r.candidate, r.variants, CASE WHEN list_contains(f.seen, r.k) OR f.used + r.variants > 600 THEN f.used ELSE f.used + r.variants END, CASE WHEN list_contains(f.seen, r.k) OR f.used + r.variants > 600 THEN f.seen ELSE list_append(f.seen, r.k) END,
+          CASE WHEN list_contains(f.seen, r.k) THEN 'duplicate' WHEN f.used + r.variants > 600 THEN 'budget' ELSE '' END FROM f JOIN r ON r.family = f.family AND r.i = f.i + 1)
+      SELECT candidate, family, variants, reason = '' AS accepted, reason FROM f"""),
     "ledger_enrich": (ledger_enrich, f"WITH {LEDGER} SELECT candidate, min(ts) AS ts, count(*) AS n, 'enriched' AS event FROM lg WHERE candidate NOT IN (SELECT candidate FROM lg WHERE event_id % 97 = 0) GROUP BY candidate"),
     "choose_candidate": (choose_candidate, rounding(PATHS + ", " + _SPLITS.format(src="path") + """, m AS (SELECT path, round(avg(r) / stddev_samp(r) * sqrt(12.0::DOUBLE), 9) AS sharpe, round(sum(r), 9) AS total FROM path JOIN s USING (ts) WHERE split = 'val' GROUP BY path), z AS (SELECT * FROM m ORDER BY sharpe DESC, total DESC, path DESC LIMIT 1)""", "sharpe, total", "path")),
     "experiment_summary": (experiment_summary, f"WITH {LEDGER}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY variant_count DESC, event_id) AS rn FROM lg) SELECT family, count(*) AS n, max(variant_count) AS best, round(avg(CASE WHEN state = 'purchase' THEN 1.0::DOUBLE ELSE 0 END), 6) AS passed, string_agg(lpad(event_id::VARCHAR, 9, '0'), ',' ORDER BY lpad(event_id::VARCHAR, 9, '0')) FILTER (WHERE rn <= 3) AS top FROM r GROUP BY family"),
     "benchmark_positions": (benchmark_positions, rounding(FEATURES + f""", l AS (SELECT asset, r, coalesce(sign(lag(r) OVER ({W})), 0) AS a, coalesce(sign(lag(mom) OVER ({W})), 0) AS b FROM f),
       u AS (SELECT 'hold' AS name, asset, coalesce(r, 0) AS x FROM l UNION ALL SELECT 'last', asset, coalesce(a * r, 0) FROM l UNION ALL SELECT 'three', asset, coalesce(b * r, 0) FROM l), z AS (SELECT name, asset, sum(x) AS total, avg(x) / stddev_samp(x) * sqrt(12.0::DOUBLE) AS sharpe FROM u GROUP BY ALL)""", "total, sharpe", "name, asset")),
     "shadow_observation": (shadow_observation, rounding(FEATURES + ", " + _RANKW + f""", hw AS (SELECT *, coalesce(lag(w) OVER ({W}), 0) AS h FROM rw), z AS (SELECT ts, count(*) FILTER (WHERE abs(h) > 1e-9) AS held, max(round(h, 6)) FILTER (WHERE abs(h) > 1e-9) AS largest, sum(abs(h)) AS gross, count(*) FILTER (WHERE volume < 4) = 0 AS complete FROM hw GROUP BY ts)""", "largest, gross", "ts, held, complete")),
-    "ic_block_sampling": (ic_block_sampling, None),
+    "ic_block_sampling": (ic_block_sampling, rounding(FEATURES + f""", a AS (SELECT ts, {_avg_rank_sql("mom")} AS x, {_avg_rank_sql("fwd")} AS y FROM f), g AS (SELECT ts, CASE WHEN count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) >= 5 THEN corr(x, y) END AS ic FROM a GROUP BY ts),
+      n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS i FROM g), z AS (SELECT ts, ic FROM n WHERE i % 3 = 0)""", "ic", "ts")),
     "family_loss_streak": (family_loss_streak, "WITH " + FEATURES.strip() + """, a AS (SELECT family, ts, round(avg(r), 9) AS r FROM f GROUP BY ALL HAVING avg(r) IS NOT NULL), b AS (SELECT *, sum(CASE WHEN r >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY family ORDER BY ts) AS wins FROM a), c AS (SELECT family, wins, count(*) AS n FROM b WHERE r < 0 GROUP BY ALL) SELECT family, max(n) AS longest FROM c GROUP BY family"""),
     "instrument_listing_age": (instrument_listing_age, "SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6::DOUBLE, 6) AS age_days, count(*) AS n FROM events GROUP BY user_id"),
 }
