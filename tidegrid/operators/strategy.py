@@ -118,11 +118,16 @@ def position_metrics(path: DataFrame, periods: float, keys: tuple[str, ...] = ("
         F.count_if("_new").alias("trades"), div(gain, loss).alias("profit_factor"), F.max("pnl").alias("best"), F.min("pnl").alias("worst"))
 
 
-def uncorrelated(paths: DataFrame, most: float) -> DataFrame:
-    """Path pairs (a < b) whose P&L correlates at most so much, from moments of one self join by time."""
+def correlations(paths: DataFrame) -> DataFrame:
+    """Correlation of the P&L of path pairs (a < b), from moments of one self join by time."""
     other = paths.select(F.col("path").alias("b"), "ts", F.col("r").alias("_q"))
     both = paths.select(F.col("path").alias("a"), "ts", "r").join(other, "ts").where("a < b")
-    return both.groupBy("a", "b").agg(F.corr("r", "_q").alias("corr")).where(F.abs("corr") <= most)
+    return both.groupBy("a", "b").agg(F.corr("r", "_q").alias("corr"))
+
+
+def uncorrelated(paths: DataFrame, most: float) -> DataFrame:
+    """Path pairs (a < b) whose P&L correlates at most so much."""
+    return correlations(paths).where(F.abs("corr") <= most)
 
 
 def greedy_pool(spark: SparkSession, scores: list[tuple[str, float]], corr: dict[tuple[str, str], float], most: float, size: int) -> list[str]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, evidence_queries, feature_queries, io_queries, inference_queries, portfolio_queries, strategy_queries, study_queries
+from . import audit_queries, evidence_queries, feature_queries, io_queries, inference_queries, pair_queries, portfolio_queries, strategy_queries, study_queries
 
-_PARTS = (feature_queries, portfolio_queries, inference_queries, audit_queries, strategy_queries, study_queries, evidence_queries, io_queries)
+_PARTS = (feature_queries, portfolio_queries, inference_queries, audit_queries, strategy_queries, study_queries, evidence_queries, pair_queries, io_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

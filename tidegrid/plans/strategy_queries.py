@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import change, lag
 from ..operators import crosssection as xs
-from ..operators import grid, inference, strategy, timeseries
+from ..operators import evidence, grid, inference, strategy, timeseries
 from ..operators import portfolio as pf
 from .inference_queries import PATHS, _nw_sql, paths
-from .panels import EVENT_HOURS, NATION_MONTH, ema_cte, event_grid, nation_day, nation_month, rounded, rounding
+from .panels import EVENT_HOURS, NATION_DAY, NATION_MONTH, ema_cte, event_grid, nation_day, nation_month, rounded, rounding
 from .portfolio_queries import DAY, FEATURES, _avg_rank_sql, features
 
 W = "PARTITION BY asset ORDER BY ts"
+#: Paths whose P&L correlates more than this count as the same.
+ALIKE = 0.5
 RUN = f"OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
@@ -70,9 +74,11 @@ def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blend_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 best blends of four nations' paths."""
+    """The 20 best blends of up to three of six nations' paths: the best by Sharpe that are little like those before."""
     p = paths(spark, sf)
-    members = [r.path for r in p.select("path").distinct().orderBy("path").limit(4).collect()]
+    scores = [(r.path, r.s) for r in p.groupBy("path").agg(pf.sharpe("r", 12).alias("s")).collect()]  # a row a nation
+    alike = {(r.a, r.b): r["corr"] for r in strategy.correlations(p).where(F.abs("corr") > ALIKE).collect()}  # at most all pairs of nations
+    members = strategy.greedy_pool(spark, scores, alike, ALIKE, 6)
     return rounded(strategy.blends(p, members, 5, 12).orderBy(F.desc("sharpe"), "blend").limit(20))
 
 
@@ -98,6 +104,28 @@ def momentum_replication(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inference.newey_west(path, "net", 4, ["split"]), 6)
 
 
+def liquidity_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    """The day's return of the ten largest and of the ten most liquid nations, outer fifths a day late, equal and value weighted.
+
+    Robust t of the daily IC and of the daily P&L by segment, weighting and split.
+    """
+    d = nation_day(spark, sf).withColumn("close", grid.fill_forward("close")).withColumn("cap", grid.fill_forward("vol_quote"))
+    d = evidence.trailing_amihud(d, "close", "cap", 20, 1, "illiquidity").withColumn("r", change("close")).withColumn("signal", F.log("close") - lag(F.log("close")))
+    d = d.withColumn("fwd", lag("signal", -1))
+    known = F.col("cap").isNotNull()
+    masks = {"largest": xs.top_n("cap", known, 10), "liquid": xs.top_n("illiquidity", known, 10, largest=False)}
+    parts = []
+    for segment, mask in masks.items():
+        x = d.withColumn("segment", F.lit(segment)).withColumn("sig", F.when(mask, F.col("signal")))
+        parts.append(xs.rank_ic(x, "sig", "fwd", 5, True, ["segment", "ts"]).select("ts", "segment", F.lit("none").alias("weighting"), F.lit("ic").alias("measure"), F.col("ic").alias("x")))
+        for weighting, cap in (("equal", None), ("value", "cap")):
+            w = pf.segment_weights(x, "sig", cap, 0.2, 5, "w").withColumn("h", pf.held("w"))
+            path = pf.pnl(w.join(grid.splits(w).select("ts", "split"), "ts"), "h", "r", part=("split",))
+            parts.append(path.select("ts", F.lit(segment).alias("segment"), F.lit(weighting).alias("weighting"), F.lit("net").alias("measure"), F.col("net").alias("x")))
+    rows = reduce(DataFrame.unionByName, parts).join(grid.splits(d).select("ts", "split"), "ts")
+    return rounded(inference.newey_west(rows, "x", 4, ["measure", "segment", "weighting", "split"]))
+
+
 def low_vol_replication(spark: SparkSession, sf: str) -> DataFrame:
     """Low volatility: next-month IC and its robust t in halves of the months."""
     p = nation_month(spark, sf).withColumn("r", change("close"))
@@ -161,12 +189,41 @@ _POS = """pm AS (SELECT rule, asset, ts, r, p FROM (SELECT 'momentum_3' AS rule,
     sum(CASE WHEN pnl > 0 THEN pnl END) / sum(CASE WHEN pnl < 0 THEN -pnl END) AS profit_factor, max(pnl) AS best, min(pnl) AS worst FROM e GROUP BY ALL)"""
 _SPLITS = """t AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM {src})),
   s AS (SELECT ts, CASE WHEN pos < floor(n * 0.5::DOUBLE) THEN 'is' WHEN pos < floor(n * 0.5::DOUBLE) + floor(n * 0.17::DOUBLE) THEN 'val' ELSE 'holdout' END AS split FROM t)"""
+_MOMENTUM = NATION_DAY + ", " + _SPLITS.format(src="p") + f""", q AS (SELECT asset, ts, last_value(close IGNORE NULLS) {RUN} AS close, coalesce(last_value(vol_quote IGNORE NULLS) {RUN}, 0) AS cap FROM p),
+  f AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r, close / lag(close, 20) OVER ({W}) - 1 AS mom FROM q), a AS (SELECT *, CASE WHEN cap > 0 THEN mom END AS x FROM f),
+  b AS (SELECT *, count(x) OVER (PARTITION BY ts) AS n, row_number() OVER (PARTITION BY ts ORDER BY x NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY ts ORDER BY x DESC NULLS LAST, asset) AS dn FROM a),
+  c AS (SELECT *, CASE WHEN x IS NOT NULL AND n >= 5 AND floor(n * 0.3::DOUBLE) >= 1 THEN CASE WHEN dn <= floor(n * 0.3::DOUBLE) THEN 1 WHEN up <= floor(n * 0.3::DOUBLE) THEN -1 END END AS side FROM b),
+  d AS (SELECT *, CASE WHEN dayofweek(ts) = 1 THEN CASE WHEN side IS NULL THEN 0 ELSE side * cap / sum(cap) OVER (PARTITION BY ts, side) END END AS w, row_number() OVER ({W}) AS i FROM c),
+  l AS (SELECT *, last_value(CASE WHEN w IS NOT NULL THEN i END IGNORE NULLS) {RUN} AS li, last_value(w IGNORE NULLS) {RUN} AS lw FROM d),
+  h AS (SELECT asset, l.ts, r, split, coalesce(CASE WHEN i - 2 - lag(li, 2) OVER (PARTITION BY asset ORDER BY l.ts) < 7 THEN lag(lw, 2) OVER (PARTITION BY asset ORDER BY l.ts) END, 0) AS h FROM l JOIN s ON l.ts = s.ts),
+  e AS (SELECT *, abs(h - coalesce(lag(h) OVER (PARTITION BY asset, split ORDER BY ts), 0)) AS tn FROM h),
+  path AS (SELECT split, ts, coalesce(sum(h * r), 0) - sum(tn) * 7 / 10000 AS net FROM e GROUP BY split, ts)"""
+_LIQUIDITY = NATION_DAY + ", " + _SPLITS.format(src="p") + f""", q AS (SELECT asset, ts, last_value(close IGNORE NULLS) {RUN} AS close, last_value(vol_quote IGNORE NULLS) {RUN} AS cap FROM p),
+  q1 AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r, ln(close) - lag(ln(close)) OVER ({W}) AS signal FROM q), q2 AS (SELECT *, lag(abs(signal) / cap) OVER ({W}) AS i1, lead(signal) OVER ({W}) AS fwd FROM q1),
+  q3 AS (SELECT *, CASE WHEN count(i1) OVER v >= 20 THEN avg(i1) OVER v END AS il FROM q2 WINDOW v AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+  g AS (SELECT 'largest' AS segment, *, CASE WHEN cap IS NOT NULL AND row_number() OVER (PARTITION BY ts ORDER BY cap DESC NULLS LAST, asset) <= 10 THEN signal END AS x FROM q3
+    UNION ALL SELECT 'liquid', *, CASE WHEN cap IS NOT NULL AND il IS NOT NULL AND row_number() OVER (PARTITION BY ts ORDER BY CASE WHEN cap IS NOT NULL THEN il END NULLS LAST, asset) <= 10 THEN signal END FROM q3),
+  b AS (SELECT *, count(x) OVER (PARTITION BY segment, ts) AS n, row_number() OVER (PARTITION BY segment, ts ORDER BY x NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY segment, ts ORDER BY x DESC NULLS LAST, asset) AS dn FROM g),
+  c AS (SELECT *, floor(n * 0.2::DOUBLE) AS k, CASE WHEN x IS NOT NULL AND n >= 5 THEN CASE WHEN dn <= floor(n * 0.2::DOUBLE) THEN 1 WHEN up <= floor(n * 0.2::DOUBLE) THEN -1 END END AS side FROM b),
+  w AS (SELECT segment, m.weighting, asset, c.ts, r, split, CASE WHEN side IS NULL THEN 0 WHEN m.weighting = 'equal' THEN side / k ELSE side * cap / sum(cap) OVER (PARTITION BY segment, m.weighting, c.ts, side) END AS w FROM c CROSS JOIN (SELECT unnest(['equal', 'value']) AS weighting) m JOIN s ON c.ts = s.ts),
+  h AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY segment, weighting, asset ORDER BY ts), 0) AS h FROM w), e AS (SELECT *, abs(h - coalesce(lag(h) OVER (PARTITION BY segment, weighting, asset, split ORDER BY ts), 0)) AS tn FROM h),
+  y AS (SELECT segment, ts, rank() OVER (PARTITION BY segment, ts ORDER BY x) + (count(*) OVER (PARTITION BY segment, ts, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY segment, ts ORDER BY fwd) + (count(*) OVER (PARTITION BY segment, ts, fwd) - 1) / 2.0::DOUBLE AS ry FROM g WHERE x IS NOT NULL AND fwd IS NOT NULL),
+  ic AS (SELECT segment, ts, CASE WHEN count(*) >= 5 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM y GROUP BY ALL),
+  path AS (SELECT 'net' AS measure, segment, weighting, split, ts, coalesce(sum(h * r), 0) - sum(tn) * 7 / 10000 AS x FROM e GROUP BY ALL UNION ALL SELECT 'ic', segment, 'none', split, ic.ts, ic FROM ic JOIN s ON ic.ts = s.ts)"""
+_BLENDS = PATHS + f""", sc AS (SELECT path, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) AS s FROM path GROUP BY path), cr AS (SELECT x.path AS a, y.path AS b FROM path x JOIN path y ON x.ts = y.ts AND x.path <> y.path GROUP BY ALL HAVING abs(corr(x.r, y.r)) > {ALIKE}),
+  o AS (SELECT path, row_number() OVER (ORDER BY s DESC, path) AS i, coalesce((SELECT list(b) FROM cr WHERE cr.a = sc.path), []) AS alike FROM sc),
+  g(i, pool) AS (SELECT i, [path] FROM o WHERE i = 1 UNION ALL SELECT o.i, CASE WHEN len(pool) < 6 AND NOT list_has_any(o.alike, pool) THEN list_append(pool, o.path) ELSE pool END FROM g JOIN o ON o.i = g.i + 1),
+  mb AS (SELECT unnest(pool) AS path, generate_subscripts(pool, 1) AS k FROM g WHERE i = (SELECT max(i) FROM o)), u AS (SELECT a.k AS k1, b.k AS k2, c.k AS k3, ua, ub, uc FROM mb a, mb b, mb c, range(1, 6) x(ua), range(0, 5) y(ub), range(0, 5) v(uc) WHERE ua + ub + uc = 5 AND ((ub = 0 AND uc = 0 AND b.k = 1 AND c.k = 1) OR (ub > 0 AND uc = 0 AND a.k < b.k AND c.k = 1) OR (ub > 0 AND uc > 0 AND a.k < b.k AND b.k < c.k))),
+  lb AS (SELECT k, ts, path, r FROM mb JOIN path USING (path)), nm AS (SELECT i AS units, CASE WHEN i = 5 THEN '1' ELSE '0.' || (2 * i) END AS label FROM range(1, 6) t(i)),
+  bl AS (SELECT a.path || ':' || na.label || CASE WHEN ub > 0 THEN '+' || b.path || ':' || nb.label ELSE '' END || CASE WHEN uc > 0 THEN '+' || c.path || ':' || nc.label ELSE '' END AS blend, CAST(1 + (ub > 0)::INT + (uc > 0)::INT AS INT) AS members, (ua * a.r + ub * b.r + uc * c.r) / 5.0::DOUBLE AS r
+    FROM u JOIN lb a ON a.k = k1 JOIN lb b ON b.k = k2 AND b.ts = a.ts JOIN lb c ON c.k = k3 AND c.ts = a.ts JOIN nm na ON na.units = ua LEFT JOIN nm nb ON nb.units = ub LEFT JOIN nm nc ON nc.units = uc),
+  z AS (SELECT blend, members, avg(r) / stddev_samp(r) * sqrt(12.0::DOUBLE) AS sharpe FROM bl GROUP BY ALL ORDER BY sharpe DESC, blend LIMIT 20)"""
 QUERIES = {
     "rule_library": (rule_library, rounding(_rule_sql() + _POS[_POS.index("h AS (") :].replace("sqrt(12.0::DOUBLE)", "sqrt(8760.0::DOUBLE)").replace("avg(pnl) / stddev_samp(pnl) * sqrt(8760.0::DOUBLE)", "coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(8760.0::DOUBLE), 0)"), "total, sharpe, max_drawdown, exposure, long_share, profit_factor, best, worst", "rule, asset, n, trades")),
     "position_backtest": (position_backtest, rounding(FEATURES + ", " + _POS, "total, sharpe, max_drawdown, exposure, long_share, profit_factor, best, worst", "rule, asset, n, trades")),
     "path_correlations": (path_correlations, rounding(PATHS + ", z AS (SELECT * FROM (SELECT x.path AS a, y.path AS b, corr(x.r, y.r) AS corr FROM path x JOIN path y ON x.ts = y.ts AND x.path < y.path GROUP BY ALL) WHERE abs(corr) <= 0.2)", "corr", "a, b")),
     "walk_forward": (walk_forward, rounding(PATHS + ", sg AS (SELECT ts, ntile(5) OVER (ORDER BY ts) AS part FROM (SELECT DISTINCT ts FROM path)), z AS (SELECT path, part, avg(r) / stddev_samp(r) * sqrt(12.0::DOUBLE) AS sharpe, sum(r) AS total, count(*) AS n FROM path JOIN sg USING (ts) GROUP BY ALL)", "sharpe, total", "path, part, n")),
-    "blend_grid": (blend_grid, None),
+    "blend_grid": (blend_grid, rounding("RECURSIVE " + _BLENDS, "sharpe", "blend, members")),
     "ridge_combine": (ridge_combine, rounding(FEATURES + """, d AS (SELECT fwd, mom AS a, volume AS b FROM f WHERE fwd IS NOT NULL AND mom IS NOT NULL AND volume IS NOT NULL),
       st AS (SELECT fwd, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b FROM d),
       m AS (SELECT sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(a * b) AS ab, sum(a * fwd) AS ay, sum(b * fwd) AS byy FROM st),
@@ -174,7 +231,8 @@ QUERIES = {
     "monthly_execution": (monthly_execution, rounding(DAY + f""", a AS (SELECT *, CASE WHEN count(mom) OVER (PARTITION BY ts) >= 5 THEN ({_avg_rank_sql("mom")}) / count(mom) OVER (PARTITION BY ts) - 0.5::DOUBLE END AS p0 FROM f), b AS (SELECT *, p0 - avg(p0) OVER (PARTITION BY ts) AS p1 FROM a),
       rw AS (SELECT *, coalesce(p1 / nullif(sum(abs(p1)) OVER (PARTITION BY ts), 0), 0) AS w0 FROM b), l AS (SELECT asset, ts, last_value(CASE WHEN last_day(ts) = ts::DATE THEN w0 END IGNORE NULLS) {RUN} AS lv FROM rw),
       z AS (SELECT asset, ts, coalesce(lag(lv) OVER ({W}), 0) AS w FROM l)""", "w", "asset, ts", 8)),
-    "momentum_replication": (momentum_replication, None),
+    "momentum_replication": (momentum_replication, rounding(_MOMENTUM + ", " + _nw_sql("path", "split", "net", 4), "mean, se, t", "split, n")),
+    "liquidity_momentum": (liquidity_momentum, rounding(_LIQUIDITY + ", " + _nw_sql("path", "measure, segment, weighting, split", "x", 4), "mean, se, t", "measure, segment, weighting, split, n")),
     "low_vol_replication": (low_vol_replication, rounding(NATION_MONTH + ", " + _SPLITS.format(src="p") + f""", a AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r FROM p), b AS (SELECT *, -CASE WHEN count(r) OVER v >= 9 THEN stddev_samp(r) OVER v END AS signal, lead(r) OVER ({W}) AS fwd FROM a WINDOW v AS ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
       y AS (SELECT ts, {_avg_rank_sql("signal")} AS rx, {_avg_rank_sql("fwd")} AS ry FROM b WHERE signal IS NOT NULL AND fwd IS NOT NULL), i AS (SELECT ts, CASE WHEN count(*) >= 5 THEN corr(rx, ry) END AS ic FROM y GROUP BY ts), q AS (SELECT split, ts, ic FROM i JOIN s USING (ts)), """ + _nw_sql("q", "split", "ic", 3), "mean, se, t", "split, n")),
     "ic_inference": (ic_inference, rounding(FEATURES + ", " + _SPLITS.format(src="f") + f""", a AS (SELECT ts, {_avg_rank_sql("mom")} AS x, {_avg_rank_sql("fwd")} AS y FROM f),
