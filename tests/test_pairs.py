@@ -7,6 +7,7 @@ import random
 import pytest
 
 from tidegrid.operators import pairs
+from tidegrid.operators import portfolio as pf
 
 DAY0 = dt.datetime(2024, 1, 1)
 
@@ -66,3 +67,24 @@ def test_source_period_splits(spark):
 def test_windows_start_at_the_first_time(spark):
     t = spark.createDataFrame([(x,) for x in _days(10)], "ts timestamp_ntz")
     assert [r.window for r in pairs.windows_of(t, 4).orderBy("ts").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+
+
+@pytest.mark.parametrize(("equal", "apart"), [(False, False), (True, True), (False, True)])
+def test_segment_weights_with_ties(spark, equal, apart):
+    rng = random.Random(3)
+    rows = [(f"a{i}", t, rng.choice([None, 0.0, 0.0, 1.0, 2.0]), rng.choice([0.0, 1.0, 3.0, 8.0])) for t in _days(60) for i in range(12)]
+    df = spark.createDataFrame(rows, "asset string, ts timestamp_ntz, x double, c double")
+    got = {(r.asset, r.ts): r.w for r in pf.segment_weights(df, "x", "c", 0.3, 5, "w", equal, apart).collect()}
+    want = dict.fromkeys(got, 0.0)
+    for t in _days(60):
+        live = [(x, a, 1.0 if equal else c) for a, u, x, c in rows if u == t and x is not None and c > 0]
+        k = max(1, math.floor(len(live) * 0.3))
+        low = sorted(live)
+        high = low[::-1] if apart else sorted(live, key=lambda v: (-v[0], v[1]))
+        if len(live) < 5 or (apart and 2 * k > len(live)):
+            continue
+        for side, sign in ((high[:k], 0.5), (low[:k], -0.5)):
+            want |= {(a, t): sign * c / sum(v[2] for v in side) for _, a, c in side}
+    assert len(got) == len(rows)
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    assert any(want.values())

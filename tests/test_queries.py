@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: A query of each kind; the driver compares all of them.
 CHOSEN = [
     "momentum_pnl", "panel_dense_grid", "forward_returns_purged", "rolling_vol_liquidity", "zscore_clip", "carry_features", "dsl_rolling_pack", "lag_daily_asof", "asof_strict", "spread_estimators", "rank_ic_pairwise", "xs_residual",
-    "xs_bucket_neutral", "top_bottom_weights", "vw_30_40_30", "portfolio_metrics", "formation_execution", "backtest_single", "hysteresis_members", "hac_mean_t", "fdr_by", "cscv_pbo", "ols_hac_1", "coverage_audit", "family_budget",
+    "xs_bucket_neutral", "top_bottom_weights", "vw_30_40_30", "quintile_ew", "portfolio_metrics", "formation_execution", "backtest_single", "hysteresis_members", "hac_mean_t", "fdr_by", "cscv_pbo", "ols_hac_1", "coverage_audit", "family_budget",
     "diff_compare", "pit_differential", "upsert_keep_last", "book_sweep", "ema_pack", "rsi_atr_adx", "rule_library", "crash_windows_join",
     "factor_catalogue", "pruned_factors", "execution_metrics", "fama_macbeth_multi", "gates_v2", "gates_v3", "stage_two", "execution_verdict", "data_readiness", "rolling_months", "trailing_illiquidity", "proxy_spearman",
     "candle_projection", "cursor_paging", "zip_roundtrip", "store_roundtrip", "upsert_months", "stream_tumbling", "stream_upsert", "blend_grid", "momentum_replication", "liquidity_momentum", "pair_weights", "pair_carry", "pair_audit", "source_split",

@@ -32,18 +32,21 @@ def top_bottom_weights(df: DataFrame, x: str, least: int, share: float, name: st
     return d.withColumn(name, F.coalesce(F.when(F.col("_n") >= least, w), F.lit(0.0))).drop("_n", "_up", "_down", "_k")
 
 
-def segment_weights(df: DataFrame, x: str, cap: str | None, share: float, least: int, name: str) -> DataFrame:
-    """Long the highest and short the lowest ``share``, equal or cap-weighted, +-1 each; the sides must not meet."""
-    if cap:
-        df = df.withColumn("_x", F.when(F.col(cap) > 0, F.col(x)))
-    else:
-        df = df.withColumn("_x", F.col(x))
-    d = sides(df, "_x").withColumn("_k", F.floor(F.col("_n") * share))
-    ok = (F.col("_n") >= least) & (F.col("_k") >= 1) & (2 * F.col("_k") <= F.col("_n"))
-    side = F.when(F.col("_down") <= F.col("_k"), 1.0).when(F.col("_up") <= F.col("_k"), -1.0)
-    d = d.withColumn("_side", F.when(ok, side)).withColumn("_c", F.when(F.col("_side").isNotNull(), F.col(cap) if cap else F.lit(1.0)))
-    total = F.sum("_c").over(Window.partitionBy("ts", "_side"))
-    return d.withColumn(name, F.coalesce(F.col("_side") * div("_c", total), F.lit(0.0))).drop("_x", "_n", "_up", "_down", "_k", "_side", "_c")
+def segment_weights(df: DataFrame, x: str, cap: str, share: float, least: int, name: str, equal: bool = False, apart: bool = False) -> DataFrame:
+    """Half long the highest and half short the lowest ``share`` (one asset at least) of those with a value and a cap above 0, by cap or equally.
+
+    Equal values go by asset. Each side takes the first of its own order, so
+    that equal values may put an asset on both; it is short then. With
+    ``apart`` both sides come from one order, and where they meet nothing is held.
+    """
+    d = sides(df.withColumn("_x", F.when(F.col(cap) > 0, F.col(x))), "_x").withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
+    ok = (F.col("_n") >= least) & ((2 * F.col("_k") <= F.col("_n")) if apart else F.lit(True))
+    below = F.coalesce(ok & (F.col("_up") <= F.col("_k")), F.lit(False))
+    above = F.coalesce(ok & ((F.col("_up") > F.col("_n") - F.col("_k")) if apart else (F.col("_down") <= F.col("_k"))), F.lit(False))
+    d = d.withColumn("_c", F.lit(1.0) if equal else F.col(cap)).withColumn("_below", below).withColumn("_above", above)
+    short = -0.5 * F.col("_c") / F.sum(F.when(F.col("_below"), F.col("_c"))).over(at())
+    long = 0.5 * F.col("_c") / F.sum(F.when(F.col("_above"), F.col("_c"))).over(at())
+    return d.withColumn(name, F.when(F.col("_below"), short).when(F.col("_above"), long).otherwise(0.0)).drop("_x", "_n", "_up", "_down", "_k", "_c", "_below", "_above")
 
 
 def rebalance(w: Column | str, hours: int) -> Column:

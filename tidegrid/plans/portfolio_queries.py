@@ -93,7 +93,16 @@ def vw_30_40_30(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quintile_ew(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pf.segment_weights(features(spark, sf), "mom", None, 0.2, 5, "w").select("asset", "ts", "w"), 8)
+    return rounded(pf.segment_weights(features(spark, sf), "mom", "vol_quote", 0.2, 5, "w", equal=True, apart=True).select("asset", "ts", "w"), 8)
+
+
+def segment_sql(source: str, x: str, cap: str, share: float, part: str = "ts", apart: bool = False) -> str:
+    """CTE ``sw``: outer shares of x held half long and half short, by cap; equal values by asset, short where both meet."""
+    above = "up > n - k AND 2 * k <= n" if apart else "dn <= k"
+    below = "up <= k AND 2 * k <= n" if apart else "up <= k"
+    return f"""s0 AS (SELECT *, count({x}) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY {x} NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY {part} ORDER BY {x} DESC NULLS LAST, asset) AS dn FROM {source}),
+      s1 AS (SELECT *, greatest(1, floor(n * {share}::DOUBLE)) AS k FROM s0), s2 AS (SELECT *, {x} IS NOT NULL AND n >= 5 AND {below} AS lo, {x} IS NOT NULL AND n >= 5 AND {above} AS hi FROM s1),
+      sw AS (SELECT *, CASE WHEN lo THEN -0.5::DOUBLE * {cap} / sum({cap}) FILTER (WHERE lo) OVER (PARTITION BY {part}) WHEN hi THEN 0.5::DOUBLE * {cap} / sum({cap}) FILTER (WHERE hi) OVER (PARTITION BY {part}) ELSE 0 END AS w FROM s2)"""
 
 
 def _day_signal(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,11 +280,8 @@ QUERIES = {
     "rank_weights": (rank_weights, rounding(FEATURES + ", " + _RANKW + ", z AS (SELECT * FROM rw)", "w", "asset, ts", 8)),
     "top_bottom_weights": (top_bottom_weights, rounding(FEATURES + """, a AS (SELECT *, count(mom) OVER (PARTITION BY ts) AS n, row_number() OVER (PARTITION BY ts ORDER BY mom NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY ts ORDER BY mom DESC NULLS LAST, asset) AS dn FROM f),
       b AS (SELECT *, greatest(1, floor(n * 0.3::DOUBLE)) AS k FROM a), z AS (SELECT asset, ts, CASE WHEN n >= 5 AND mom IS NOT NULL THEN CASE WHEN up <= k THEN -0.5 / k WHEN dn <= k THEN 0.5 / k ELSE 0 END ELSE 0 END AS w FROM b)""", "w", "asset, ts", 8)),
-    "vw_30_40_30": (vw_30_40_30, rounding(FEATURES + """, a AS (SELECT *, count(mom) OVER (PARTITION BY ts) AS n, row_number() OVER (PARTITION BY ts ORDER BY mom NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY ts ORDER BY mom DESC NULLS LAST, asset) AS dn FROM (SELECT * REPLACE (CASE WHEN vol_quote > 0 THEN mom END AS mom) FROM f)),
-      b AS (SELECT *, floor(n * 0.3::DOUBLE) AS k FROM a), c AS (SELECT *, CASE WHEN n >= 5 AND k >= 1 AND 2 * k <= n AND mom IS NOT NULL THEN CASE WHEN dn <= k THEN 1 WHEN up <= k THEN -1 END END AS side FROM b),
-      z AS (SELECT asset, ts, CASE WHEN side IS NULL THEN 0 ELSE side * vol_quote / sum(vol_quote) OVER (PARTITION BY ts, side) END AS w FROM c)""", "w", "asset, ts", 8)),
-    "quintile_ew": (quintile_ew, rounding(FEATURES + """, a AS (SELECT *, count(mom) OVER (PARTITION BY ts) AS n, row_number() OVER (PARTITION BY ts ORDER BY mom NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY ts ORDER BY mom DESC NULLS LAST, asset) AS dn FROM f),
-      b AS (SELECT *, floor(n * 0.2::DOUBLE) AS k FROM a), z AS (SELECT asset, ts, CASE WHEN n >= 5 AND k >= 1 AND mom IS NOT NULL THEN CASE WHEN dn <= k THEN 1 / k WHEN up <= k THEN -1 / k ELSE 0 END ELSE 0 END AS w FROM b)""", "w", "asset, ts", 8)),
+    "vw_30_40_30": (vw_30_40_30, rounding(FEATURES + ", a AS (SELECT * REPLACE (CASE WHEN vol_quote > 0 THEN mom END AS mom) FROM f), " + segment_sql("a", "mom", "vol_quote", 0.3) + ", z AS (SELECT asset, ts, w FROM sw)", "w", "asset, ts", 8)),
+    "quintile_ew": (quintile_ew, rounding(FEATURES + ", a AS (SELECT * REPLACE (CASE WHEN vol_quote > 0 THEN mom END AS mom) FROM f), " + segment_sql("a", "mom", "1.0::DOUBLE", 0.2, apart=True) + ", z AS (SELECT asset, ts, w FROM sw)", "w", "asset, ts", 8)),
     "rebalance_hold": (rebalance_hold, rounding(f"{DAY}, {_RANKW}, {_REBAL}, z AS (SELECT * FROM hw)", "rb, h", "asset, ts", 8)),
     "turnover_cost_pnl": (turnover_cost_pnl, rounding(f"{DAY}, {_RANKW}, {_REBAL}, {_PATH}, z AS (SELECT *, missing AS n_missing FROM path)", "gross, turnover, cost, net", "split, ts, n_missing", 8)),
     "portfolio_metrics": (portfolio_metrics, rounding(f"""{DAY}, {_RANKW}, {_REBAL}, {_PATH}, c1 AS (SELECT *, sum(net) OVER (PARTITION BY split ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM path),

@@ -14,7 +14,7 @@ from ..operators import evidence, grid, inference, strategy, timeseries
 from ..operators import portfolio as pf
 from .inference_queries import PATHS, _nw_sql, paths
 from .panels import EVENT_HOURS, NATION_DAY, NATION_MONTH, ema_cte, event_grid, nation_day, nation_month, rounded, rounding
-from .portfolio_queries import DAY, FEATURES, _avg_rank_sql, features
+from .portfolio_queries import DAY, FEATURES, _avg_rank_sql, features, segment_sql
 
 W = "PARTITION BY asset ORDER BY ts"
 #: Paths whose P&L correlates more than this count as the same.
@@ -118,8 +118,8 @@ def liquidity_momentum(spark: SparkSession, sf: str) -> DataFrame:
     for segment, mask in masks.items():
         x = d.withColumn("segment", F.lit(segment)).withColumn("sig", F.when(mask, F.col("signal")))
         parts.append(xs.rank_ic(x, "sig", "fwd", 5, True, ["segment", "ts"]).select("ts", "segment", F.lit("none").alias("weighting"), F.lit("ic").alias("measure"), F.col("ic").alias("x")))
-        for weighting, cap in (("equal", None), ("value", "cap")):
-            w = pf.segment_weights(x, "sig", cap, 0.2, 5, "w").withColumn("h", pf.held("w"))
+        for weighting in ("equal", "value"):
+            w = pf.segment_weights(x, "sig", "cap", 0.2, 5, "w", equal=weighting == "equal", apart=True).withColumn("h", pf.held("w"))
             path = pf.pnl(w.join(grid.splits(w).select("ts", "split"), "ts"), "h", "r", part=("split",))
             parts.append(path.select("ts", F.lit(segment).alias("segment"), F.lit(weighting).alias("weighting"), F.lit("net").alias("measure"), F.col("net").alias("x")))
     rows = reduce(DataFrame.unionByName, parts).join(grid.splits(d).select("ts", "split"), "ts")
@@ -191,9 +191,7 @@ _SPLITS = """t AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(
   s AS (SELECT ts, CASE WHEN pos < floor(n * 0.5::DOUBLE) THEN 'is' WHEN pos < floor(n * 0.5::DOUBLE) + floor(n * 0.17::DOUBLE) THEN 'val' ELSE 'holdout' END AS split FROM t)"""
 _MOMENTUM = NATION_DAY + ", " + _SPLITS.format(src="p") + f""", q AS (SELECT asset, ts, last_value(close IGNORE NULLS) {RUN} AS close, coalesce(last_value(vol_quote IGNORE NULLS) {RUN}, 0) AS cap FROM p),
   f AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r, close / lag(close, 20) OVER ({W}) - 1 AS mom FROM q), a AS (SELECT *, CASE WHEN cap > 0 THEN mom END AS x FROM f),
-  b AS (SELECT *, count(x) OVER (PARTITION BY ts) AS n, row_number() OVER (PARTITION BY ts ORDER BY x NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY ts ORDER BY x DESC NULLS LAST, asset) AS dn FROM a),
-  c AS (SELECT *, CASE WHEN x IS NOT NULL AND n >= 5 AND floor(n * 0.3::DOUBLE) >= 1 THEN CASE WHEN dn <= floor(n * 0.3::DOUBLE) THEN 1 WHEN up <= floor(n * 0.3::DOUBLE) THEN -1 END END AS side FROM b),
-  d AS (SELECT *, CASE WHEN dayofweek(ts) = 1 THEN CASE WHEN side IS NULL THEN 0 ELSE side * cap / sum(cap) OVER (PARTITION BY ts, side) END END AS w, row_number() OVER ({W}) AS i FROM c),
+  {segment_sql("a", "x", "cap", 0.3)}, d AS (SELECT asset, ts, r, CASE WHEN dayofweek(ts) = 1 THEN w END AS w, row_number() OVER ({W}) AS i FROM sw),
   l AS (SELECT *, last_value(CASE WHEN w IS NOT NULL THEN i END IGNORE NULLS) {RUN} AS li, last_value(w IGNORE NULLS) {RUN} AS lw FROM d),
   h AS (SELECT asset, l.ts, r, split, coalesce(CASE WHEN i - 2 - lag(li, 2) OVER (PARTITION BY asset ORDER BY l.ts) < 7 THEN lag(lw, 2) OVER (PARTITION BY asset ORDER BY l.ts) END, 0) AS h FROM l JOIN s ON l.ts = s.ts),
   e AS (SELECT *, abs(h - coalesce(lag(h) OVER (PARTITION BY asset, split ORDER BY ts), 0)) AS tn FROM h),
@@ -203,9 +201,8 @@ _LIQUIDITY = NATION_DAY + ", " + _SPLITS.format(src="p") + f""", q AS (SELECT as
   q3 AS (SELECT *, CASE WHEN count(i1) OVER v >= 20 THEN avg(i1) OVER v END AS il FROM q2 WINDOW v AS ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
   g AS (SELECT 'largest' AS segment, *, CASE WHEN cap IS NOT NULL AND row_number() OVER (PARTITION BY ts ORDER BY cap DESC NULLS LAST, asset) <= 10 THEN signal END AS x FROM q3
     UNION ALL SELECT 'liquid', *, CASE WHEN cap IS NOT NULL AND il IS NOT NULL AND row_number() OVER (PARTITION BY ts ORDER BY CASE WHEN cap IS NOT NULL THEN il END NULLS LAST, asset) <= 10 THEN signal END FROM q3),
-  b AS (SELECT *, count(x) OVER (PARTITION BY segment, ts) AS n, row_number() OVER (PARTITION BY segment, ts ORDER BY x NULLS LAST, asset) AS up, row_number() OVER (PARTITION BY segment, ts ORDER BY x DESC NULLS LAST, asset) AS dn FROM g),
-  c AS (SELECT *, floor(n * 0.2::DOUBLE) AS k, CASE WHEN x IS NOT NULL AND n >= 5 THEN CASE WHEN dn <= floor(n * 0.2::DOUBLE) THEN 1 WHEN up <= floor(n * 0.2::DOUBLE) THEN -1 END END AS side FROM b),
-  w AS (SELECT segment, m.weighting, asset, c.ts, r, split, CASE WHEN side IS NULL THEN 0 WHEN m.weighting = 'equal' THEN side / k ELSE side * cap / sum(cap) OVER (PARTITION BY segment, m.weighting, c.ts, side) END AS w FROM c CROSS JOIN (SELECT unnest(['equal', 'value']) AS weighting) m JOIN s ON c.ts = s.ts),
+  g2 AS (SELECT weighting, g.*, CASE WHEN weighting = 'equal' THEN 1 ELSE cap END AS cp FROM g CROSS JOIN (SELECT unnest(['equal', 'value']) AS weighting)), {segment_sql("g2", "x", "cp", 0.2, "segment, weighting, ts", apart=True)},
+  w AS (SELECT segment, weighting, asset, sw.ts, r, split, w FROM sw JOIN s ON sw.ts = s.ts),
   h AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY segment, weighting, asset ORDER BY ts), 0) AS h FROM w), e AS (SELECT *, abs(h - coalesce(lag(h) OVER (PARTITION BY segment, weighting, asset, split ORDER BY ts), 0)) AS tn FROM h),
   y AS (SELECT segment, ts, rank() OVER (PARTITION BY segment, ts ORDER BY x) + (count(*) OVER (PARTITION BY segment, ts, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY segment, ts ORDER BY fwd) + (count(*) OVER (PARTITION BY segment, ts, fwd) - 1) / 2.0::DOUBLE AS ry FROM g WHERE x IS NOT NULL AND fwd IS NOT NULL),
   ic AS (SELECT segment, ts, CASE WHEN count(*) >= 5 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM y GROUP BY ALL),
