@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tidegrid.operators import pairs
+from tidegrid.operators import pairs, strategy
 from tidegrid.operators import portfolio as pf
 
 DAY0 = dt.datetime(2024, 1, 1)
@@ -88,3 +88,17 @@ def test_segment_weights_with_ties(spark, equal, apart):
     assert len(got) == len(rows)
     assert all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
     assert any(want.values())
+
+
+def test_correlation_with_a_constant_path_is_null(spark):
+    rows = [(p, t, float(v)) for p, xs in {"a": [1, 2, 4], "b": [2, 4, 8], "c": [0, 0, 0]}.items() for t, v in zip(_days(3), xs, strict=True)]
+    df = spark.createDataFrame(rows, "path string, ts timestamp_ntz, r double")
+    got = {(r.a, r.b): r["corr"] for r in strategy.correlations(df).collect()}
+    assert got == {("a", "b"): pytest.approx(1.0), ("a", "c"): None, ("b", "c"): None}
+    assert strategy.uncorrelated(df, 0.5).count() == 0
+
+
+def test_greedy_pool_takes_the_best_of_what_is_alike(spark):
+    scores = [("a", 1.0), ("b", 3.0), ("c", 2.0), ("d", 2.0)]
+    assert strategy.greedy_pool(spark, scores, {("b", "c"): 0.9, ("a", "d"): -0.8}, 0.5, 3) == ["b", "d"]
+    assert strategy.greedy_pool(spark, scores, {}, 0.5, 3) == ["b", "c", "d"]

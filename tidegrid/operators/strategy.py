@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import asset_time, change, clip, div, lag, rolling
+from ..functions.numeric import asset_time, change, clip, correlation, div, lag, pair_moments, rolling
 from . import recursive
 from .grid import fill_forward
 from .portfolio import sharpe
@@ -119,10 +119,10 @@ def position_metrics(path: DataFrame, periods: float, keys: tuple[str, ...] = ("
 
 
 def correlations(paths: DataFrame) -> DataFrame:
-    """Correlation of the P&L of path pairs (a < b), from moments of one self join by time."""
+    """Correlation of the P&L of path pairs (a < b), from moments of one self join by time; NULL where one never changes."""
     other = paths.select(F.col("path").alias("b"), "ts", F.col("r").alias("_q"))
     both = paths.select(F.col("path").alias("a"), "ts", "r").join(other, "ts").where("a < b")
-    return both.groupBy("a", "b").agg(F.corr("r", "_q").alias("corr"))
+    return both.groupBy("a", "b").agg(correlation(*pair_moments(F.col("r"), F.col("_q"))).alias("corr"))
 
 
 def uncorrelated(paths: DataFrame, most: float) -> DataFrame:

@@ -191,7 +191,7 @@ def array_embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def string_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Edit similarity of part names' brands, compared within a size."""
+    """Edit similarity of the names of nations, compared within a region."""
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), F.lower("n_name").alias("a"), "n_regionkey")
     m = n.select(F.col("i").alias("j"), F.col("a").alias("b"), "n_regionkey")
     lev = F.levenshtein("a", "b")

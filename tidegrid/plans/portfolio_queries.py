@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import asset_time, change, div, forward, lag, rolling
+from ..functions.numeric import asset_time, change, correlation, div, forward, lag, pair_moments, rolling
 from ..operators import crosssection as xs
 from ..operators import grid, recursive
 from ..operators import portfolio as pf
@@ -238,7 +238,7 @@ def combos(spark: SparkSession, sf: str) -> DataFrame:
     x = p.join(F.broadcast(pool), "asset").select("asset", "ts", "pnl")  # ten rows
     y = x.select(F.col("asset").alias("b"), "ts", F.col("pnl").alias("q"))
     both = x.withColumnRenamed("asset", "a").join(y, "ts").where("a < b")  # pairs of the pool at one time
-    out = both.groupBy("a", "b").agg(F.corr("pnl", "q").alias("corr"), pf.sharpe((F.col("pnl") + F.col("q")) / 2, 12).alias("sharpe"))
+    out = both.groupBy("a", "b").agg(correlation(*pair_moments(F.col("pnl"), F.col("q"))).alias("corr"), pf.sharpe((F.col("pnl") + F.col("q")) / 2, 12).alias("sharpe"))
     return rounded(out.where(F.abs("corr") <= 0.75))
 
 

@@ -207,14 +207,14 @@ _LIQUIDITY = NATION_DAY + ", " + _SPLITS.format(src="p") + f""", q AS (SELECT as
   y AS (SELECT segment, ts, rank() OVER (PARTITION BY segment, ts ORDER BY x) + (count(*) OVER (PARTITION BY segment, ts, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY segment, ts ORDER BY fwd) + (count(*) OVER (PARTITION BY segment, ts, fwd) - 1) / 2.0::DOUBLE AS ry FROM g WHERE x IS NOT NULL AND fwd IS NOT NULL),
   ic AS (SELECT segment, ts, CASE WHEN count(*) >= 5 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS ic FROM y GROUP BY ALL),
   path AS (SELECT 'net' AS measure, segment, weighting, split, ts, coalesce(sum(h * r), 0) - sum(tn) * 7 / 10000 AS x FROM e GROUP BY ALL UNION ALL SELECT 'ic', segment, 'none', split, ic.ts, ic FROM ic JOIN s ON ic.ts = s.ts)"""
-_BLENDS = PATHS + f""", sc AS (SELECT path, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) AS s FROM path GROUP BY path), cr AS (SELECT x.path AS a, y.path AS b FROM path x JOIN path y ON x.ts = y.ts AND x.path <> y.path GROUP BY ALL HAVING abs(corr(x.r, y.r)) > {ALIKE}),
+_BLENDS = PATHS + f""", sc AS (SELECT path, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) AS s FROM path GROUP BY path), cr AS (SELECT x.path AS a, y.path AS b FROM path x JOIN path y ON x.ts = y.ts AND x.path <> y.path GROUP BY ALL HAVING stddev_pop(x.r) > 0 AND stddev_pop(y.r) > 0 AND abs(corr(x.r, y.r)) > {ALIKE}),
   o AS (SELECT path, row_number() OVER (ORDER BY s DESC, path) AS i, coalesce((SELECT list(b) FROM cr WHERE cr.a = sc.path), []) AS alike FROM sc),
   g(i, pool) AS (SELECT i, [path] FROM o WHERE i = 1 UNION ALL SELECT o.i, CASE WHEN len(pool) < 6 AND NOT list_has_any(o.alike, pool) THEN list_append(pool, o.path) ELSE pool END FROM g JOIN o ON o.i = g.i + 1),
   mb AS (SELECT unnest(pool) AS path, generate_subscripts(pool, 1) AS k FROM g WHERE i = (SELECT max(i) FROM o)), u AS (SELECT a.k AS k1, b.k AS k2, c.k AS k3, ua, ub, uc FROM mb a, mb b, mb c, range(1, 6) x(ua), range(0, 5) y(ub), range(0, 5) v(uc) WHERE ua + ub + uc = 5 AND ((ub = 0 AND uc = 0 AND b.k = 1 AND c.k = 1) OR (ub > 0 AND uc = 0 AND a.k < b.k AND c.k = 1) OR (ub > 0 AND uc > 0 AND a.k < b.k AND b.k < c.k))),
   lb AS (SELECT k, ts, path, r FROM mb JOIN path USING (path)), nm AS (SELECT i AS units, CASE WHEN i = 5 THEN '1' ELSE '0.' || (2 * i) END AS label FROM range(1, 6) t(i)),
   bl AS (SELECT a.path || ':' || na.label || CASE WHEN ub > 0 THEN '+' || b.path || ':' || nb.label ELSE '' END || CASE WHEN uc > 0 THEN '+' || c.path || ':' || nc.label ELSE '' END AS blend, CAST(1 + (ub > 0)::INT + (uc > 0)::INT AS INT) AS members, (ua * a.r + ub * b.r + uc * c.r) / 5.0::DOUBLE AS r
     FROM u JOIN lb a ON a.k = k1 JOIN lb b ON b.k = k2 AND b.ts = a.ts JOIN lb c ON c.k = k3 AND c.ts = a.ts JOIN nm na ON na.units = ua LEFT JOIN nm nb ON nb.units = ub LEFT JOIN nm nc ON nc.units = uc),
-  z AS (SELECT blend, members, avg(r) / stddev_samp(r) * sqrt(12.0::DOUBLE) AS sharpe FROM bl GROUP BY ALL ORDER BY sharpe DESC, blend LIMIT 20)"""
+  z AS (SELECT blend, members, CASE WHEN var_samp(r) > 1e-18 THEN avg(r) / stddev_samp(r) * sqrt(12.0::DOUBLE) ELSE 0 END AS sharpe FROM bl GROUP BY ALL ORDER BY sharpe DESC, blend LIMIT 20)"""
 QUERIES = {
     "rule_library": (rule_library, rounding(_rule_sql() + _POS[_POS.index("h AS (") :].replace("sqrt(12.0::DOUBLE)", "sqrt(8760.0::DOUBLE)").replace("avg(pnl) / stddev_samp(pnl) * sqrt(8760.0::DOUBLE)", "coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(8760.0::DOUBLE), 0)"), "total, sharpe, max_drawdown, exposure, long_share, profit_factor, best, worst", "rule, asset, n, trades")),
     "position_backtest": (position_backtest, rounding(FEATURES + ", " + _POS, "total, sharpe, max_drawdown, exposure, long_share, profit_factor, best, worst", "rule, asset, n, trades")),

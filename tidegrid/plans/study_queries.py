@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl
-from ..functions.numeric import change, div, lag, sample_kurtosis, sample_skew
+from ..functions.numeric import change, correlation, div, lag, pair_moments, sample_kurtosis, sample_skew
 from ..operators import grid
 from ..operators import portfolio as pf
 from . import spec
@@ -58,7 +58,7 @@ def regime_split_backtest(spark: SparkSession, sf: str) -> DataFrame:
 def live_vs_backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation and errors between two return paths of one asset."""
     p = nation_month(spark, sf).withColumn("a", change("close")).withColumn("b", change(F.col("vol_quote") / F.col("volume") * (1 + F.col("volume") / 1e4)))
-    d = p.where("a IS NOT NULL AND b IS NOT NULL").groupBy("asset").agg(F.corr("a", "b").alias("corr"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("mse"), F.count(F.lit(1)).alias("n"))
+    d = p.where("a IS NOT NULL AND b IS NOT NULL").groupBy("asset").agg(correlation(*pair_moments(F.col("a"), F.col("b"))).alias("corr"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mae"), F.avg((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).alias("mse"), F.count(F.lit(1)).alias("n"))
     return rounded(d, 8)
 
 
