@@ -9,13 +9,20 @@ minima with a probability of 3 in a million, more similar ones with less. No
 candidate is linked unless the similarity of its two sets, taken in full, is 0.8
 or more.
 
-No bucket is compared all with all: its members are held against three centres,
-of other components than their own. Where that leaves a bucket of more than four
-in several components, its members are dealt anew to finer buckets, of two and
-then of three bands, with centres of their own. A pair at 0.8 shares 8 of the 48
-finer buckets on average, and one of at most four members compares it outright;
-so the work is in proportion to the rows, however large a group is, and a pair is
-lost only if every bucket it shares is larger and its centres miss one of the two.
+At first the members of a bucket are held against three centres, of other
+components than their own. Where that leaves a bucket of more than four in several
+components, its members are dealt anew to finer buckets, of two and then of three
+bands, with centres of their own. That joins large groups of copies in time in
+proportion to their rows, but centres miss pairs. So what is still in several
+components is then settled exactly: in each bucket of one band that is, all
+pairs of different components are held against each other by sketches. A sketch
+is the parities of the set's members by some low bits of their hashes; sets that
+differ in d members have sketches that differ in at most d bits, so a pair whose
+sketches differ in more than a similarity of 0.8 allows is none, and no other pair
+is left out. A member's nearest ones are verified first, as they join most that
+belongs together, then all pairs that are still in different components. Buckets
+are dealt to cells of two blocks, so that no task holds a large one as a whole.
+Every pair at 0.8 or more that shares a band ends in one component.
 """
 
 from __future__ import annotations
@@ -37,6 +44,10 @@ BANDS, ROWS = 24, 4
 LEAST = (4, 5)
 #: Members of a bucket that all others are compared with at first.
 CENTRES = 3
+#: Members of a block; a cell, which one task compares, holds two.
+BLOCK = 1024
+#: Bits of the largest sketch, and pairs (times words of a sketch) compared in one numpy step.
+SKETCH_BITS, STEP = 1 << 16, 1 << 20
 #: Bands that make up a key, by level of refinement.
 LEVELS = [
     [(j,) for j in range(BANDS)],
@@ -82,6 +93,96 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return den * shared >= num * (len(both) - shared)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of a set's members by the low bits of their hashes: two to four bits a member, 64 at least."""
+    width = min(max(64, 1 << (2 * len(s) - 1).bit_length()), SKETCH_BITS)
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def candidates(part: np.ndarray, size: np.ndarray, side: np.ndarray, sketches: list[np.ndarray], within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of different parts that may be similar, and the share of members that differ at least.
+
+    Unless ``within``, only pairs of different sides.
+    """
+    num, den = LEAST
+    words = np.array([len(x) for x in sketches])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for w in np.unique(words):
+        a = np.flatnonzero(words == w)
+        own = np.stack([sketches[i] for i in a])
+        # Similar sets have sketches of one length, or one is twice as long: its halves are laid upon each other.
+        b = np.flatnonzero(words == 2 * w)
+        both = np.concatenate([a, b])
+        folded = np.concatenate([own, np.stack([sketches[i][:w] ^ sketches[i][w:] for i in b])]) if len(b) else own
+        rows = max(1, STEP // len(both))
+        for s in range(0, len(a), rows):
+            i = a[s : s + rows, None]
+            ok = (part[i] != part[both]) & (den * np.minimum(size[i], size[both]) >= num * np.maximum(size[i], size[both]))
+            ok &= (words[both] > w) | (i < both)
+            if not within:
+                ok &= side[i] != side[both]
+            x, y = np.nonzero(ok)
+            for t in range(0, len(x), max(1, STEP // w)):
+                u, v = x[t : t + max(1, STEP // w)] + s, y[t : t + max(1, STEP // w)]
+                apart = np.bitwise_count(own[u] ^ folded[v]).sum(axis=1, dtype=np.int64)
+                u, v = a[u], both[v]
+                near = (num + den) * apart <= (den - num) * (size[u] + size[v])
+                found.append((u[near], v[near], apart[near] / (size[u] + size[v])[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _unsettled(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket's members ``(_key, _node, _p)`` in different components that may be similar.
+
+    All such pairs, or with ``nearest`` only each member's nearest in a cell.
+    """
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array([sketch(x).tobytes() for x in held], pa.binary())], names=["_node", "_n", "_sketch"])
+
+    def close(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+        at = [cell.column(c).to_numpy() for c in ("_key", "_i", "_j")]
+        cut = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in at], axis=0)]))
+        part, size, side, node = (cell.column(c).to_numpy() for c in ("_p", "_n", "_s", "_node"))
+        sketches = [np.frombuffer(x, "<u8") for x in cell.column("_sketch").to_pylist()]
+        found = []
+        for s, e in zip(cut, [*cut[1:], len(part)], strict=True):
+            i, j, apart = candidates(part[s:e], size[s:e], side[s:e], sketches[s:e], at[1][s] == at[2][s])
+            if nearest:
+                by = np.lexsort([np.tile(apart, 2), np.concatenate([i, j])])
+                best = by[np.unique(np.concatenate([i, j])[by], return_index=True)[1]] % max(1, len(i))
+                i, j = i[best], j[best]
+            found.append(np.sort(np.stack([node[s:e][i], node[s:e][j]], axis=1), axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # batches since the last cell began
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = [batch.column(i).to_numpy() for i in range(3)]
+            open_at = int(np.all([x == x[-1] for x in at], axis=0).argmax())  # the last cell may go on
+            if held and (open_at or any(held[-1].column(i)[-1].as_py() != at[i][-1] for i in range(3))):
+                yield from close(pa.Table.from_batches([*held, batch.slice(0, open_at)]))
+                held = []
+            elif open_at:
+                yield from close(pa.Table.from_batches([batch.slice(0, open_at)]))
+            held.append(batch.slice(open_at))
+        if held:
+            yield from close(pa.Table.from_batches(held))
+
+    marks = sets.join(members.select("_node").distinct(), "_node", "left_semi").mapInArrow(mark, "_node long, _n long, _sketch binary")
+    blocks = members.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_g"))
+    own = F.pmod(F.xxhash64(F.lit(BLOCK), F.col("_node")), F.col("_g")).cast("int")
+    dealt = members.join(blocks, "_key").select("_key", "_node", "_p", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_other"))
+    cell = [F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") < F.col("_other")).cast("int").alias("_s")]
+    cells = dealt.select("_key", *cell, "_p", "_node").join(marks, "_node").select("_key", "_i", "_j", "_s", "_p", "_n", "_node", "_sketch")
+    return cells.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(work, "a long, b long").distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that are similar."""
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +234,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     asked = materialize(by_print.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     edges = materialize(_linked(asked, sets), "similar")
     label = components(edges)
-    still = signed
+    still = rest = signed
     for level, combos in enumerate(LEVELS):
         key = [F.xxhash64(F.lit(level), *[F.col("_keys")[j] for j in c]) for c in combos]
         known = label.withColumnRenamed("node", "_node")
         index = still.join(known, "_node", "left").select("_node", "_n", F.coalesce("component", "_node").alias("_p"), F.explode(F.array(*key)).alias("_key"))
         index = materialize(index, "bands")
+        rest = rest if level else index
         one = lambda r: F.min(F.struct(F.xxhash64(F.lit(r), F.col("_node")).alias("o"), F.col("_node").alias("v"), F.col("_n").alias("n"), F.col("_p").alias("p")))
         buckets = index.groupBy("_key").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"), *[one(r).alias(f"c{r}") for r in range(CENTRES)]).where("lo < hi")
         members = index.join(buckets.select("_key", F.array(*[f"c{r}" for r in range(CENTRES)]).alias("_c")), "_key")
@@ -157,6 +259,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
         if again.isEmpty():
             break
         still = signed.join(again, "_node", "left_semi")
+    # The rest, exactly: buckets of one band that are still in parts. One of two members has been compared outright.
+    for nearest in (True, False):
+        now = rest.select("_key", "_node").join(label.withColumnRenamed("node", "_node"), "_node", "left").select("_key", "_node", F.coalesce("component", "_node").alias("_p"))
+        parts = now.groupBy("_key").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi AND m > 2").select("_key")
+        rest = materialize(now.join(parts, "_key", "left_semi"), "rest")
+        if rest.isEmpty():
+            break
+        fresh = materialize(_unsettled(rest, sets, nearest).join(asked, ["a", "b"], "left_anti"), "pairs")
+        found = _linked(fresh, sets)
+        old, edges = edges, materialize(edges.unionByName(found), "similar")
+        discard(old)
+        asked = asked.unionByName(fresh)
+        label = components(edges)
     discard(signed)
     ids = docs.select(F.col(id_col).cast("long").alias("_id"), node.alias("node")).distinct().join(label, "node")
     least = ids.groupBy("component").agg(F.min("_id").alias("component_id"))
