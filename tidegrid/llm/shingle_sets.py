@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, text_blocks
 from .components import components
-from .simhash import fingerprints_from, links, shingle_hashes
+from .simhash import SENT_KEYS, fingerprints_from, links, shingle_hashes
 
 #: Bands of a signature and minima of a band.
 BANDS, ROWS = 24, 4
@@ -175,9 +175,11 @@ def _unsettled(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
             yield from close(pa.Table.from_batches(held))
 
     marks = sets.join(members.select("_node").distinct(), "_node", "left_semi").mapInArrow(mark, "_node long, _n long, _sketch binary")
-    blocks = members.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_g"))
+    # Large buckets are few: a BLOCK-th of the rows at most. Only their numbers of blocks travel, so no task reads one of them whole.
+    blocks = members.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_g")).where("_g > 1")
+    members = members.join(F.broadcast(blocks), "_key", "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(BLOCK), F.col("_node")), F.col("_g")).cast("int")
-    dealt = members.join(blocks, "_key").select("_key", "_node", "_p", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_other"))
+    dealt = members.select("_key", "_node", "_p", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_g") - 1)).alias("_other"))
     cell = [F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") < F.col("_other")).cast("int").alias("_s")]
     cells = dealt.select("_key", *cell, "_p", "_node").join(marks, "_node").select("_key", "_i", "_j", "_s", "_p", "_n", "_node", "_sketch")
     return cells.repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j").mapInArrow(work, "a long, b long").distinct()
@@ -263,9 +265,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     for nearest in (True, False):
         now = rest.select("_key", "_node").join(label.withColumnRenamed("node", "_node"), "_node", "left").select("_key", "_node", F.coalesce("component", "_node").alias("_p"))
         parts = now.groupBy("_key").agg(F.min("_p").alias("lo"), F.max("_p").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi AND m > 2").select("_key")
-        rest = materialize(now.join(parts, "_key", "left_semi"), "rest")
-        if rest.isEmpty():
+        parts = materialize(parts, "parts")
+        n = parts.count()
+        if n == 0:
             break
+        rest = materialize(now.join(F.broadcast(parts) if n <= SENT_KEYS else parts, "_key", "left_semi"), "rest")
         fresh = materialize(_unsettled(rest, sets, nearest).join(asked, ["a", "b"], "left_anti"), "pairs")
         found = _linked(fresh, sets)
         old, edges = edges, materialize(edges.unionByName(found), "similar")
