@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,32 +92,49 @@ def upsert_months(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(t.read(), 2)
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of files."""
+def _event_stream(spark: SparkSession, sf: str, slices: int = 3) -> tuple[DataFrame, Iterator[None]]:
+    """The events table as a stream of files, and its arrivals: each step adds the files of the next slice of time.
+
+    A file source takes files by their time of modification, and tasks that
+    write side by side end in any order. So a slice arrives only when the
+    stream has taken the one before, and no row is late.
+    """
     folder = shared_dir(spark, "stream")
     rows = table(spark, sf, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    rows.repartitionByRange(6, "ts").write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    at = F.unix_micros("ts")
+    rows.limit(0).write.parquet(folder)  # a stream's folder has to be there
+
+    def arrivals() -> Iterator[None]:
+        bounds = rows.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
+        number = sum((F.coalesce((at >= b).cast("int"), F.lit(0)) for b in bounds), F.lit(0))
+        for i in range(slices):
+            rows.where(number == i).write.mode("append").parquet(folder)
+            yield
+
+    return spark.readStream.schema(rows.schema).parquet(folder), arrivals()
 
 
-def _drained(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def _drained(spark: SparkSession, df: DataFrame, arrivals: Iterator[None], label: str) -> DataFrame:
     out = shared_dir(spark, label)
-    q = df.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
-    q.awaitTermination()
+    for _ in arrivals:
+        df.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     """Six-hour windows of the event stream that the watermark has closed."""
-    late = incremental.tumbling(_event_stream(spark, sf), "ts", "6 hours", "30 minutes", ["event_type"], "value")
-    return rounded(_drained(spark, late, "tumbling").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+    events, arrivals = _event_stream(spark, sf)
+    closed = incremental.tumbling(events, "ts", "6 hours", "30 minutes", ["event_type"], "value")
+    return rounded(_drained(spark, closed, arrivals, "tumbling").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
 
 
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Confirmed rows of the event stream, upserted batch by batch."""
     t = incremental.VersionedTable(spark, shared_dir(spark, "stream-table"), ["event_type", "event_id"])
-    rows = _event_stream(spark, sf).withColumn("confirmed", F.col("event_id") % 10 != 0)
-    incremental.stream_upsert(rows, t, shared_dir(spark, "stream-state")).awaitTermination()
+    events, arrivals = _event_stream(spark, sf)
+    rows, state = events.withColumn("confirmed", F.col("event_id") % 10 != 0), shared_dir(spark, "stream-state")
+    for _ in arrivals:
+        incremental.stream_upsert(rows, t, state).awaitTermination()
     return rounded(t.read().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
