@@ -91,13 +91,13 @@ def book_metrics(levels: DataFrame, keys: list[str], bands: tuple[float, ...] =
     per unit of price is price * size). A sweep takes from each level what is
     left of the target after the better levels: a running sum, no loop.
     """
-    side = Window.partitionBy(*keys)
-    d = levels.where((F.col("price") > 0) & (F.col("size") > 0))
-    d = d.withColumn("bid", F.max(F.when(F.col("side") == "bid", F.col("price"))).over(side)).withColumn("ask", F.min(F.when(F.col("side") == "ask", F.col("price"))).over(side))
-    d = d.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn("_v", F.col("price") * F.col("size"))
+    d = levels.where((F.col("price") > 0) & (F.col("size") > 0)).withColumn("_v", F.col("price") * F.col("size"))
     better = F.when(F.col("side") == "ask", F.col("price")).otherwise(-F.col("price"))
     run = Window.partitionBy(*keys, "side").orderBy(better).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_before", F.coalesce(F.sum("_v").over(run), F.lit(0.0))).withColumn("_bp", F.abs(F.col("price") / F.col("mid") - 1) * 1e4)
+    d = d.withColumn("_before", F.coalesce(F.sum("_v").over(run), F.lit(0.0)))
+    side = Window.partitionBy(*keys)  # after the running sum, whose order serves both
+    d = d.withColumns({"bid": F.max(F.when(F.col("side") == "bid", F.col("price"))).over(side), "ask": F.min(F.when(F.col("side") == "ask", F.col("price"))).over(side)})
+    d = d.withColumn("mid", (F.col("bid") + F.col("ask")) / 2).withColumn("_bp", F.abs(F.col("price") / F.col("mid") - 1) * 1e4)
     aggs = [F.max("bid").alias("bid"), F.max("ask").alias("ask"), F.max("mid").alias("mid")]
     for s in ("bid", "ask"):
         at = F.col("side") == s

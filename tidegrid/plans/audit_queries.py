@@ -233,12 +233,17 @@ def lot_rounding(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(l.select("l_orderkey", "l_linenumber", lots.alias("lots"), F.round(F.abs(got / F.col("want") - 1), 6).alias("error")))
 
 
+#: Order lines that one task of the book takes: tasks grow in number with the table, not in size.
+BOOK_ROWS = 100_000
+
+
 def book_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as book levels: odd lines bid, even lines ask above them."""
     l = table(spark, sf, "lineitem")  # noqa: E741
     side = F.when(F.col("l_linenumber") % 2 == 1, "bid").otherwise("ask")
     price = F.when(side == "bid", 1000 - F.col("l_linenumber") * 0.4 - F.col("l_discount")).otherwise(1000 + F.col("l_linenumber") * 0.3 + F.col("l_tax"))
     levels = l.select(F.col("l_orderkey"), side.alias("side"), price.alias("price"), (F.col("l_quantity") / 20).alias("size"))
+    levels = levels.repartition(-(-max(l.count(), 1) // BOOK_ROWS), "l_orderkey")  # the one exchange: levels and windows keep to it
     levels = levels.groupBy("l_orderkey", "side", "price").agg(F.sum("size").alias("size"))
     return rounded(audit.book_metrics(levels, ["l_orderkey"], (5, 25), (1000, 5000)), 8)
 
